@@ -13,6 +13,7 @@ found first, as the library does by default.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -45,6 +46,7 @@ def char_classes() -> np.ndarray:
 @lru_cache(4)
 def load(path: str):
     """The library's tokenizer, and its added tokens (text to id)."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     told = json.loads(open(path, encoding="utf-8").read())

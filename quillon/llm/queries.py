@@ -34,6 +34,65 @@ def op8_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path, digest_only=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op8_binary_output)}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.mixing import mix_report
 
-ORACLE: dict[str, str] = {}
+    return mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS place
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS w
+  FROM d GROUP BY source),
+o AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
+  FROM s),
+t AS (
+  SELECT source, source_size, (CASE WHEN 2.0 * source_size <= lev * w THEN 2.0 * source_size
+    ELSE w * (SELECT arg_min(lev, 2.0 * source_size / w) FROM o WHERE 2.0 * source_size > lev * w) END)::DOUBLE AS target
+  FROM o),
+q AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+c AS (
+  SELECT d.doc_id, d.size, q.source_size, q.target, q.whole, q.target - q.whole * q.source_size AS rest,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place) AS after,
+         sum(d.size) OVER (PARTITION BY d.source, d.place) AS cell
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN rest > 0 AND after - cell / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
+"""
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.quality import classified
+
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.licenses import license_report
+
+    return license_report(table(spark, sf_dir, "documents"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.neardup import classes
+
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_mixing, op4_license_scan, op6_near_duplicates, op8_binary_output, op9_fingerprints)}
+
+ORACLE: dict[str, str] = {"op3_mixing": OP3_SQL}
