@@ -26,6 +26,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts(table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 512).alias("over_limit"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.toxicity import fit, severity
+
+    docs = table(spark, sf_dir, "documents")
+    return severity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.binary_output import read_ids, write_ids
     from quillon.llm.workdir import table_path
@@ -40,6 +47,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -99,6 +112,6 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_mixing, op4_license_scan, op5_decontamination, op6_near_duplicates, op8_binary_output, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_mixing, op4_license_scan, op5_decontamination, op6_near_duplicates, op7_toxicity, op8_binary_output, op9_fingerprints, op10_pii)}
 
 ORACLE: dict[str, str] = {"op3_mixing": OP3_SQL}
