@@ -143,12 +143,12 @@ def gumbel(*cols: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def parting(good: np.ndarray, bad: np.ndarray) -> float:
-    """The cut of least cost between two samples, a good one lost counting twice a bad one kept; the middle of the widest best gap."""
+def parting(good: np.ndarray, bad: np.ndarray, lost_share: float = 2.0) -> float:
+    """The cut of least cost between two samples, the share of good ones lost counting lost_share times that of bad ones kept; the middle of the widest best gap."""
     if not len(good) or not len(bad):
         return float("-inf")
     x = np.concatenate((good, bad))
-    cost = np.concatenate((np.full(len(good), 2.0 / len(good)), np.full(len(bad), -1.0 / len(bad))))
+    cost = np.concatenate((np.full(len(good), lost_share / len(good)), np.full(len(bad), -1.0 / len(bad))))
     order = np.argsort(x, kind="stable")
     x, lost = x[order], np.cumsum(cost[order])
     gaps = np.diff(x)

@@ -19,14 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.quality import parting
 from quillon.llm.textops import U64, WORD, Chunk, by_chunk, lists, mix
 
 FEATURES = 1 << 18
 PREFIXES = (4, 5, 6)
 #: At most this many labelled documents of each label are fitted on.
 SAMPLE = 3_000
-RIDGE = 0.003
-STEPS = 150
+RIDGE = 0.0005
+STEPS = 300
+#: A feature takes part if its log odds ratio between the labels is this many standard errors from none.
+TELLING = 3.0
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -48,20 +51,29 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Ordinal:
     weights: bytes  # float32, one a feature
     thresholds: tuple[float, ...]
+    cut: float  # scores above it are flagged: the best parting of the fitted rows
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) by row and threshold."""
         return 1 / (1 + np.exp(-np.clip(score[:, None] - np.array(self.thresholds), -40, 40)))
 
 
+def telling(row: np.ndarray, feature: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """Which features differ clearly between the labels, one boolean a feature."""
+    with_1 = np.bincount(feature[positive[row]], minlength=FEATURES) + 0.5
+    with_0 = np.bincount(feature[~positive[row]], minlength=FEATURES) + 0.5
+    n1, n0 = positive.sum() + 1.0, (~positive).sum() + 1.0
+    odds = np.log(with_1 / np.maximum(n1 - with_1, 0.5)) - np.log(with_0 / np.maximum(n0 - with_0, 0.5))
+    error = np.sqrt(1 / with_1 + 1 / with_0 + 1 / np.maximum(n1 - with_1, 0.5) + 1 / np.maximum(n0 - with_0, 0.5))
+    return (np.abs(odds) > TELLING * error) & (with_1 + with_0 >= 4)
+
+
 def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int) -> Ordinal:
     """Penalised maximum likelihood by Adam; deterministic. Thresholds are kept ordered by positive steps between them."""
     n = len(grade)
-    seen, at = np.unique(feature, return_inverse=True)
-    often = np.bincount(at) >= 3
-    keep = often[at]
-    number = np.cumsum(often) - 1
-    row, at, seen = row[keep], number[at[keep]], seen[often]
+    keep = telling(row, feature, grade > 0)[feature]
+    row = row[keep]
+    seen, at = np.unique(feature[keep], return_inverse=True)
     w, cut = np.zeros(len(seen)), np.zeros(grades - 1)
     for k in range(grades - 1):
         p = np.clip((weight * (grade > k)).sum() / weight.sum(), 1e-4, 1 - 1e-4)
@@ -84,17 +96,20 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, weight:
         np.add.at(g_cut, grade, weight * d_hi)
         np.add.at(g_cut, grade + 1, -weight * d_lo)
         g_cut = g_cut[1:-1]
-        g_w = np.bincount(at, g_score[row], minlength=len(w)) + RIDGE * w / max(len(w), 1) ** 0.5
+        g_w = np.bincount(at, g_score[row], minlength=len(w)) + RIDGE * w
         g_theta = np.concatenate(([g_cut.sum()], [g_cut[k:].sum() * np.exp(theta[k]) for k in range(1, len(theta))]))
         g = np.concatenate((g_w, g_theta))
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
-        change = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        change = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w -= change[: len(w)]
         theta -= change[len(w) :]
     full = np.zeros(FEATURES, np.float32)
     full[seen] = w
-    return Ordinal(full.tobytes(), tuple(float(x) for x in np.concatenate((theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))))))
+    score = np.bincount(row, w[at], minlength=n)
+    cuts = np.concatenate((theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))))
+    cut = parting(score[grade > 0], score[grade == 0], (grade > 0).sum() / max((grade == 0).sum(), 1))  # an error of either kind counts one
+    return Ordinal(full.tobytes(), tuple(float(x) for x in cuts), cut if np.isfinite(cut) else float(cuts[0]))
 
 
 def _evidence_grades(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -141,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def severity(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, p_toxic (grade above 0), expected_severity (0 to 2), severity (the likeliest grade), toxic (p_toxic above one half).
+    """Per row of docs: doc_id, p_toxic (grade above 0), expected_severity (0 to 2), severity (the likeliest grade), toxic (the score is above the cut that parts the fitted rows best).
 
     Null and empty texts have no features and get the model's base rate; without
     a model (labels of one class only) every row has severity 0.
@@ -156,10 +171,11 @@ def severity(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", tex
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             d, f = features(b.column(1))
-            up = model.probabilities(np.bincount(d, w[f], minlength=b.num_rows))
+            score = np.bincount(d, w[f], minlength=b.num_rows)
+            up = model.probabilities(score)
             n = b.num_rows
             each = np.concatenate((np.ones((n, 1)), up), axis=1) - np.concatenate((up, np.zeros((n, 1))), axis=1)
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(up[:, 0]), pa.array(up.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(up[:, 0] > 0.5)], schema.names)
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(up[:, 0]), pa.array(up.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(score > model.cut)], schema.names)
 
         return by_chunk(one)(batches)
 
