@@ -54,12 +54,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     return per.select("source", "source_size", F.when(F.col("_full"), F.col("_bound")).otherwise(free * F.col("_w")).alias("target"))
 
 
-def _matched(rows: DataFrame, small: DataFrame, extra: Column | None = None) -> DataFrame:
+def _matched(rows: DataFrame, small: DataFrame, extra: Column | None = None, source: str = "source") -> DataFrame:
     """rows with the columns of their source in small (one row a source)."""
     few = small.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    s = small.withColumnRenamed("source", "_source")
-    on = rows["source"].eqNullSafe(s["_source"])
-    return rows.join(F.broadcast(s) if few else s, on if extra is None else on & extra).drop("_source")
+    s = small.withColumnRenamed("source", "_key")
+    on = rows[source].eqNullSafe(s["_key"])
+    return rows.join(F.broadcast(s) if few else s, on if extra is None else on & extra).drop("_key")
 
 
 def thresholds(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -86,8 +86,8 @@ def thresholds(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: f
     return written(plan, "mix-plan"), sizes
 
 
-def copies(place_col: Column) -> Column:
-    return F.col("whole") + F.when(place_col < F.col("below"), 1).otherwise(0)
+def copies(place_col: Column, whole: str = "whole", below: str = "below") -> Column:
+    return F.col(whole) + F.when(place_col < F.col(below), 1).otherwise(0)
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -106,6 +106,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *
     """The rows of the mix: each row of docs as often as it is taken (0 to 2 times with most=2)."""
     plan, _ = thresholds(docs, id_col=id_col, source_col=source_col, **options)
     names = docs.columns
-    out = _matched(docs.withColumn("_place", place(F.col(id_col))) if source_col == "source" else docs.withColumn("_place", place(F.col(id_col))).withColumn("source", F.col(source_col)), plan.select("source", "whole", "below"))
-    out = out.withColumn("_n", copies(F.col("_place"))).where("_n > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*names)
+    own = plan.select("source", F.col("whole").alias("_mix_whole"), F.col("below").alias("_mix_below"))
+    rows = docs.withColumns({"_mix_place": place(F.col(id_col)), "_mix_source": F.col(source_col)})
+    out = _matched(rows, own, source="_mix_source").withColumn("_mix_n", copies(F.col("_mix_place"), "_mix_whole", "_mix_below")).where("_mix_n > 0")
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int")))).select(*names)
