@@ -105,8 +105,13 @@ def word_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     def of(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
         size = F.length(padded)
-        each = [F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array(padded) if n == low else F.array().cast("array<string>")) for n in range(low, high + 1)]
-        return F.concat(*each)
+
+        def grams(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
+            short = F.array(padded) if n == low else F.array().cast("array<string>")
+            return F.when(size >= n, F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(short)
+
+        return F.concat(*[grams(n) for n in range(low, high + 1)])
 
     return F.flatten(F.transform(words, of))
 
