@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from quillon.llm import huffman
 from quillon.llm.textops import by_chunk, lists
-from quillon.llm.workdir import dropped, table_path
+from quillon.llm.workdir import dropped, mapped, table_path
 
 BLOCK_IDS = 1 << 16
 
@@ -62,7 +62,7 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_c
 
         return by_chunk(one, limit=BLOCK_IDS * 2)(batches)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def lists_of(values: pa.Array) -> pa.Array:
@@ -80,7 +80,7 @@ def _histogram(blocks: DataFrame, size: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
 
-    sums = blocks.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    sums = mapped(blocks.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size, np.int64)
     counts[sums.column("id").to_numpy()] = sums.column("n").to_numpy()
     return counts
@@ -119,7 +119,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
                 bits, marks = huffman.pack(ids, codes, width)
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in range(5)), pa.array([len(ids)], pa.int32()), pa.array([marks.tobytes()], pa.binary()), pa.array([bits], pa.binary())], schema.names)
 
-    placed.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    mapped(placed, run, schema).write.option("compression", "none").parquet(f"{path}/blocks")
     dropped(spark, raw)
     return path
 
@@ -147,4 +147,4 @@ def read_ids(spark: SparkSession, path: str, digest_only: bool = False) -> DataF
                     cols.append(lists(ids.astype(np.int32), per, pa.int32()))
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return blocks.mapInArrow(run, schema)
+    return mapped(blocks, run, schema)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.textops import Chunk
+from quillon.llm.workdir import mapped
 
 SLOTS = 128
 _FIRST = -(1 << 63)
@@ -146,4 +147,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size += 1
             yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())))], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.textops import Chunk, by_chunk, byte_class, grams, lists
+from quillon.llm.workdir import mapped
 
 K = 4
 SLACK = 3
@@ -110,7 +111,7 @@ def _base(rows: DataFrame) -> DataFrame:
 
         return by_chunk(one)(batches)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def template_positions(spark) -> DataFrame:
@@ -134,7 +135,7 @@ def _grams(rows: DataFrame) -> DataFrame:
 
         return by_chunk(one)(batches)
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["key"], T.StructField("grams", T.ArrayType(T.LongType()))]))
+    return mapped(rows, run, T.StructType([rows.schema["key"], T.StructField("grams", T.ArrayType(T.LongType()))]))
 
 
 def spans(rows: DataFrame) -> DataFrame:

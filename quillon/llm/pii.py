@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.textops import by_chunk
-from quillon.llm.workdir import written
+from quillon.llm.workdir import mapped, written
 
 ROUNDS = 3
 #: A pattern counts from this many distinct known instances and this confidence; an instance becomes known above ACCEPT.
@@ -133,7 +133,7 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return by_chunk(one)(batches)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def bootstrap(places: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.textops import U64, Chunk, by_chunk, grams, mix
-from quillon.llm.workdir import written
+from quillon.llm.workdir import mapped, written
 
 BUCKETS = 1 << 14
 EFFECTIVE = 32.0
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], ["bucket", "n_raw", "n_target"])
 
-    sums = rows.mapInArrow(run, "bucket int, n_raw long, n_target long").groupBy("bucket").agg(F.sum("n_raw"), F.sum("n_target")).toArrow()
+    sums = mapped(rows, run, "bucket int, n_raw long, n_target long").groupBy("bucket").agg(F.sum("n_raw"), F.sum("n_target")).toArrow()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     at = sums.column(0).to_numpy()
     raw[at] += sums.column(1).to_numpy()
@@ -134,7 +134,7 @@ def weighed(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
         return by_chunk(one, text_col)(batches)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def gumbel(*cols: Column) -> Column:

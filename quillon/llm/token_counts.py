@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.textops import by_chunk, lists
+from quillon.llm.workdir import mapped
 
 
 @lru_cache(2)
@@ -50,7 +51,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
         return by_chunk(one)(batches)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def tokens_of_prefix(prefix_tokens: Column, n_chars: Column | int) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from quillon.llm.quality import parting
 from quillon.llm.textops import U64, WORD, Chunk, by_chunk, lists, mix
+from quillon.llm.workdir import mapped
 
 FEATURES = 1 << 18
 PREFIXES = (4, 5, 6)
@@ -140,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return by_chunk(one)(batches)
 
-    got = rows.mapInArrow(run, "id string, toxic int, f array<int>").toArrow().combine_chunks().sort_by([("id", "ascending")])
+    got = mapped(rows, run, "id string, toxic int, f array<int>").toArrow().combine_chunks().sort_by([("id", "ascending")])
     if not got.num_rows:
         return None
     f = got.column("f").combine_chunks()
@@ -179,4 +180,4 @@ def severity(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", tex
 
         return by_chunk(one)(batches)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)

@@ -6,6 +6,7 @@ machine) a folder under the system's temporary directory is used.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 _local: list[str] = []
 
 
+#: Arrow batches between the JVM and Python hold at most so much (one row may hold more); Spark's default of 10,000 rows has no bound in bytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in bounded batches. The session keeps the smaller batches: they are read when the plan runs."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH.items():
+        now = re.fullmatch(r"(\d+)b?", str(conf.get(key)).lower())
+        if not now or not 0 < int(now[1]) <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
