@@ -70,7 +70,7 @@ class Chunk:
         """The index of the document that holds each byte position (ascending or not)."""
         return np.searchsorted(self.offsets, positions, side="right") - 1
 
-    def segments(self, inside: np.ndarray, upto: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def segments(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the maximal runs of bytes whose class is true. inside: a table of 256 booleans."""
         m = inside[self.buf]
         edge = np.flatnonzero(m[1:] != m[:-1]) + 1
