@@ -133,7 +133,6 @@ def tfidf(df: DataFrame, key: str, terms: Column, min_df: int = 2, max_terms: in
 
 def hashed_features(weights: DataFrame, key: str, size: int = 1 << 16) -> DataFrame:
     """key, features (sparse vector): TF-IDF weights in hashed columns."""
-    from pyspark.ml.functions import array_to_vector  # noqa: F401  (dense form for small sizes)
     from pyspark.ml.linalg import Vectors, VectorUDT
 
     @F.udf(VectorUDT())
