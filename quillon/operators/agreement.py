@@ -77,8 +77,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def exact_agreement(df: DataFrame, key: str) -> DataFrame:
     """One row: exact_field and exact_record over aligned ratings (key, field, same)."""
-    per = df.groupBy(key).agg(F.avg(F.col("same").cast("double")).alias("f"), F.count(F.lit(1)).alias("n"), F.bool_and("same").alias("r"))
-    return per.agg(F.round(F.sum(F.col("f") * F.col("n")) / F.sum("n"), 6).alias("exact_field"), F.round(F.avg(F.col("r").cast("double")), 6).alias("exact_record"))
+    per = df.groupBy(key).agg(F.avg(F.col("same").cast("double")).alias("_f"), F.count(F.lit(1)).alias("_n"), F.bool_and("same").alias("_r"))
+    return per.agg(F.round(F.sum(F.col("_f") * F.col("_n")) / F.sum("_n"), 6).alias("exact_field"), F.round(F.avg(F.col("_r").cast("double")), 6).alias("exact_record"))
 
 
 def third_rater(df: DataFrame, l: str, r: str, third: str, *by: str) -> DataFrame:

@@ -45,8 +45,8 @@ def binary_scores(truth: Column, predicted: Column) -> list[Column]:
 
 def accuracy_report(df: DataFrame, key: str, same: str) -> DataFrame:
     """exact_field and exact_record accuracy of long predictions (key, field, same)."""
-    per = df.groupBy(key).agg(F.count_if(F.col(same)).alias("k"), F.count(F.lit(1)).alias("n"))
-    return per.agg(F.round(F.sum("k") / F.sum("n"), 6).alias("exact_field"), F.round(F.avg((F.col("k") == F.col("n")).cast("double")), 6).alias("exact_record"))
+    per = df.groupBy(key).agg(F.count_if(F.col(same)).alias("_k"), F.count(F.lit(1)).alias("_n"))
+    return per.agg(F.round(F.sum("_k") / F.sum("_n"), 6).alias("exact_field"), F.round(F.avg((F.col("_k") == F.col("_n")).cast("double")), 6).alias("exact_record"))
 
 
 def bin_edges() -> list[tuple[float, float]]:
