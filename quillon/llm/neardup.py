@@ -10,14 +10,14 @@
 3. Texts with the same words are one content.  In each bucket every content is
    held against the bucket's leader, and every such pair is verified by the exact
    weighted Jaccard similarity.  Links make classes (connected components).
-4. Buckets that still hold several classes go on.  With up to SMALL classes each
-   member is held against the head of every other class.  Larger ones are parted
-   by a second, then a third band: a pair of 0.8 shares six of twelve bands on
-   average, fifteen pairs and twenty triples of them, while texts that only share
-   a passage rarely share two.  The finer buckets are treated the same way, with
-   another leader each turn.
-Each round makes a bounded number of pairs a row, so no step forms all pairs of a
-group; links of contents that are in one class already needn't be looked at.
+4. Buckets that still hold several classes go on until every pair of members of
+   different classes is verified or ruled out.  With up to SMALL members each is
+   held against the head of every other class.  The members of larger ones meet in an exact prefix filter:
+   shingles in one global order, rarest first, two texts of similarity t share one
+   before either has too little weight left to reach t.  Texts that only share a
+   template differ in more than that, so they meet at no shingle of it.
+The filter makes pairs only where texts of different classes share a shingle that
+early; their number is that of the pairs it can't rule out, and none is dropped.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ BUCKETS = 1 << 18
 STRENGTH = 0.25
 BANDS, ROWS = 12, 3
 SMALL = 8
+#: Relative rounding error allowed for in sums of weights.
+SLACK = 1e-9
 #: Candidate contents whose keys are broadcast to fetch their texts; beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -222,24 +224,59 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def _held(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """groups (bucket, content, path) with each content's label and q, the classes in its bucket; only buckets with several."""
+    """groups (bucket, content) with each content's label and m, the members of its bucket; only buckets with several classes."""
     rows = groups.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
-    several = rows.groupBy("bucket").agg(F.count_distinct("label").alias("q")).where("q > 1")
+    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "m")
     return rows.join(several, "bucket")
 
 
-def _against_leaders(groups: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each member and its bucket's leader (another one each turn), if their classes differ."""
-    held = _held(groups, labels)
-    lead = held.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("content", F.lit(turn)).alias("h"), "content", "label")).alias("x")).select("bucket", F.col("x.content").alias("head"), F.col("x.label").alias("head_label"))
-    return held.join(lead, "bucket").where("label <> head_label").select(*_order("content", "head"))
+def _small_pairs(held: DataFrame) -> DataFrame:
+    """In buckets of up to SMALL members: pairs of each member and the head of every other class."""
+    few = held.where(F.col("m") <= SMALL)
+    heads = few.groupBy("bucket", "label").agg(F.min("content").alias("head")).withColumnRenamed("label", "head_label")
+    return few.join(heads, "bucket").where("label <> head_label").select(*_order("content", "head"))
 
 
-def _against_heads(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """In buckets of up to SMALL classes: pairs of each member and the head of every other class."""
-    held = _held(groups, labels).where(F.col("q") <= SMALL)
-    heads = held.groupBy("bucket", "label").agg(F.min("content").alias("head")).withColumnRenamed("label", "head_label")
-    return held.join(heads, "bucket").where("label <> head_label").select(*_order("content", "head"))
+def prefixes(texts: DataFrame, weight_of_cell: np.ndarray, threshold: float) -> DataFrame:
+    """Per row (content, text): content, k (shingle), total (weight of the text), rest (weight from k on), for the shingles at which a text of similarity threshold can be met first.
+
+    The order is by weight of the counter (rarest first), then hash: the same for all texts.
+    """
+    told = weight_of_cell.astype(np.float32).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_idf = np.frombuffer(told, np.float32).astype(np.float64)
+
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            d, v, count, begin, _ = shingles(b.column(1))
+            log_w = log_idf[(v % U64(BUCKETS)).astype(np.int64)]
+            w = count * np.exp(log_w)
+            order = np.lexsort((v, -log_w, d))  # documents stay where they are
+            d, v, w = d[order], v[order], w[order]
+            until = np.concatenate((np.zeros(1), np.cumsum(w)))
+            total = (until[begin[1:]] - until[begin[:-1]])[d]
+            rest = until[begin[1:]][d] - until[:-1]
+            at = np.flatnonzero(rest >= threshold * total * (1 - SLACK))
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d[at])), pa.array(v[at].view(np.int64)), pa.array(total[at]), pa.array(rest[at])], ["content", "k", "total", "rest"])
+
+        return by_chunk(one)(batches)
+
+    return mapped(texts.select("content", "text"), run, "content binary, k long, total double, rest double")
+
+
+def _wide_pairs(held: DataFrame, texts: DataFrame, weight_of_cell: np.ndarray, threshold: float) -> DataFrame:
+    """Pairs of different classes among the members of buckets of more than SMALL, without those the prefix filter rules out.
+
+    Two rows of different classes are not both of a shingle's largest class, so
+    the others are held against all: as much work as there are such pairs.
+    """
+    wide = held.where(F.col("m") > SMALL).select("content", "label").distinct()
+    rows = written(prefixes(texts.join(wide.select("content"), "content", "left_semi"), weight_of_cell, threshold).join(wide, "content"), "neardup-prefixes")
+    most = rows.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("q")).where("q > 1")
+    rows = written(rows.join(most, "k"), "neardup-shared")
+    x = rows.where("label <> most").select("k", *[F.col(c).alias(f"x_{c}") for c in ("content", "label", "total", "rest")])
+    enough = F.least("rest", "x_rest") >= threshold / (1 + threshold) * (1 - SLACK) * (F.col("total") + F.col("x_total"))
+    return rows.join(x, "k").where((F.col("label") != F.col("x_label")) & enough).select(*_order("content", "x_content"))
 
 
 def _order(*cols: str | Column) -> tuple[Column, Column]:
@@ -267,23 +304,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     texts = written(texts, "neardup-texts")
     tested = written(verified(pairs, texts, weights), "neardup-tested")
     labels = components(tested.where(F.col("sim") >= threshold), "neardup-classes1")
-    # buckets that hold several classes: all of a small one, ever finer ones of a large one
-    groups = [inside.select("bucket", "content", F.array("bucket").alias("path"))]
-    lists = None
-    for turn in (2, 3):
-        if lists is None:
-            wide = _held(groups[0], labels).where(F.col("q") > SMALL)
-            lists = written(wide.groupBy("content").agg(F.array_sort(F.collect_set("bucket")).alias("all")), "neardup-lists")
-        finer = _held(groups[-1], labels).where(F.col("q") > SMALL).join(lists, "content")
-        finer = finer.select("content", "path", F.explode(F.filter("all", lambda x: x > F.element_at("path", -1))).alias("next")).withColumn("path", F.concat("path", F.array("next")))
-        groups.append(written(finer.select(F.xxhash64("path").alias("bucket"), "content", "path"), f"neardup-groups{turn}"))
-        asked = [_against_leaders(groups[-1], labels, turn), _against_heads(groups[-1], labels)] + ([_against_heads(groups[0], labels)] if turn == 2 else [_against_leaders(groups[0], labels, turn)])
-        more = asked[0]
-        for x in asked[1:]:
-            more = more.union(x)
-        more = written(more.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"neardup-more{turn}")
-        tested = written(tested.union(verified(more, texts, weights)), f"neardup-tested{turn}")
-        labels = components(tested.where(F.col("sim") >= threshold), f"neardup-classes{turn}")
+    # buckets that hold several classes: every pair of different classes is verified or ruled out
+    held = written(_held(inside.select("bucket", "content"), labels), "neardup-held")
+    more = _small_pairs(held).union(_wide_pairs(held, texts, weights, threshold))
+    more = written(more.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "neardup-more")
+    tested = written(tested.union(verified(more, texts, weights)), "neardup-tested2")
+    labels = components(tested.where(F.col("sim") >= threshold), "neardup-classes2")
     known = contents.select("content", "first", "n").join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
     per = known.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
     known = written(known.select("content", "label").join(per, "label").select("content", "first", "class_size").where("class_size > 1"), "neardup-known")

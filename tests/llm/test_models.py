@@ -70,6 +70,46 @@ def test_a_large_group_of_copies_is_one_class(spark):
     assert {r.class_size for r in out if r.doc_id < 5000} == {600}
 
 
+def all_pairs_classes(texts: list[str], weight: np.ndarray) -> list[int]:
+    """Classes by every pair of texts, in rows of a dense matrix; no pair is left out."""
+    d, v, c, begin, _ = neardup.shingles(pa.array(texts, pa.string()))
+    w = c * np.exp(weight.astype(np.float32).astype(float)[(v % np.uint64(neardup.BUCKETS)).astype(int)])
+    names, col = np.unique(v, return_inverse=True)
+    dense = np.zeros((len(texts), len(names)))
+    dense[d, col] = w
+    total = dense.sum(axis=1)
+    root = np.arange(len(texts))
+    for i in range(len(texts)):
+        low = np.minimum(dense[i], dense[i + 1 :]).sum(axis=1)
+        for j in np.flatnonzero(low >= 0.8 * (total[i] + total[i + 1 :] - low)) + i + 1:
+            root[root == max(root[i], root[j])] = min(root[i], root[j])
+    return root.tolist()
+
+
+def template_group(n: int, own: int, extra: int, seed: int) -> list[str]:
+    """n texts that share a passage, each with own words; from every tenth an edited copy with extra other words."""
+    rnd = np.random.default_rng(seed)
+    passage = [f"shared{i}" for i in range(160)]
+    out = []
+    for i in range(n):
+        words = [f"w{x}" for x in rnd.integers(0, 1 << 40, own)]
+        out.append(" ".join(passage + words))
+        if i % 10 == 0:
+            out.append(" ".join(passage + words[: own - extra] + [f"w{x}" for x in rnd.integers(0, 1 << 40, extra)]))
+    return out
+
+
+@pytest.mark.parametrize("own, extra", [(36, 15), (40, 18)])
+def test_planted_pairs_in_a_large_group_of_alike_texts(spark, own, extra):
+    texts = template_group(400, own, extra, own)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = all_pairs_classes(texts, neardup.document_frequencies(docs))
+    assert len(set(want)) < len(texts) - 30  # the planted pairs, and the group is not one class
+    assert len(set(want)) > 100
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)] + [(b"\xf0", b"\xf1")], "a binary, b binary")
     out = {bytes(r.node): bytes(r.label) for r in neardup.components(edges).collect()}
