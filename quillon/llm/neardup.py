@@ -11,8 +11,8 @@
    held against the bucket's leader, and every such pair is verified by the exact
    weighted Jaccard similarity.  Links make classes (connected components).
 4. Buckets that still hold several classes go on until every pair of members of
-   different classes is verified or ruled out.  With up to SMALL members each is
-   held against the head of every other class.  The members of larger ones meet in an exact prefix filter:
+   different classes is verified or ruled out.  With up to SMALL members all such
+   pairs are verified.  The members of larger ones meet in an exact prefix filter:
    shingles in one global order, rarest first, two texts of similarity t share one
    before either has too little weight left to reach t.  Texts that only share a
    template differ in more than that, so they meet at no shingle of it.
@@ -231,10 +231,10 @@ def _held(groups: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _small_pairs(held: DataFrame) -> DataFrame:
-    """In buckets of up to SMALL members: pairs of each member and the head of every other class."""
+    """In buckets of up to SMALL members: all pairs of members of different classes."""
     few = held.where(F.col("m") <= SMALL)
-    heads = few.groupBy("bucket", "label").agg(F.min("content").alias("head")).withColumnRenamed("label", "head_label")
-    return few.join(heads, "bucket").where("label <> head_label").select(*_order("content", "head"))
+    other = few.select("bucket", F.col("content").alias("other"), F.col("label").alias("other_label"))
+    return few.join(other, "bucket").where("content < other and label <> other_label").select(F.col("content").alias("a"), F.col("other").alias("b"))
 
 
 def prefixes(texts: DataFrame, weight_of_cell: np.ndarray, threshold: float) -> DataFrame:

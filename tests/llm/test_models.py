@@ -110,6 +110,12 @@ def test_planted_pairs_in_a_large_group_of_alike_texts(spark, own, extra):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_small_buckets_verify_members_that_are_no_heads(spark):
+    held = spark.createDataFrame([(1, b"a", b"a", 4), (1, b"b", b"a", 4), (1, b"c", b"c", 4), (1, b"d", b"c", 4)], "bucket long, content binary, label binary, m long")
+    pairs = {(bytes(r.a), bytes(r.b)) for r in neardup._small_pairs(held).collect()}
+    assert pairs == {(b"a", b"c"), (b"a", b"d"), (b"b", b"c"), (b"b", b"d")}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)] + [(b"\xf0", b"\xf1")], "a binary, b binary")
     out = {bytes(r.node): bytes(r.label) for r in neardup.components(edges).collect()}
