@@ -404,6 +404,15 @@ def benchmark_overlap(spark, sf_dir):
     return audits.overlap(d, other, "text", "text").select("doc_id")
 
 
+@query(r"""
+WITH b AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g')) AS n FROM benchmark)
+SELECT doc_id FROM documents WHERE trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g')) IN (SELECT n FROM b)
+""")
+def benchmark_overlap_all(spark, sf_dir):
+    """All documents that equal any benchmark item; benchmark_overlap is the same over the halves and tenths its SQL names."""
+    return audits.overlap(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "text", "text").select("doc_id")
+
+
 @query("SELECT lang AS value, 'lang' AS attribute, count(*)::BIGINT AS n FROM documents GROUP BY lang UNION ALL SELECT source, 'source', count(*)::BIGINT FROM documents GROUP BY source")
 def freq_source_lang(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
