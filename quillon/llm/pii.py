@@ -6,7 +6,8 @@ word before it and what connects them.  On the graph of patterns and instances
 Spark alternates between two scores: a pattern's confidence is the share of its
 distinct instances that are known identifiers, an instance's the probability
 that not all its confident patterns err; instances above ACCEPT become known.
-After ROUNDS, tokens in confident patterns and known instances are spans too.
+This goes on until no instance becomes known; then tokens in confident patterns and
+known instances are spans too.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pyspark.sql import types as T
 from quillon.llm.textops import by_chunk
 from quillon.llm.workdir import mapped, written
 
-ROUNDS = 3
 #: A pattern counts from this many distinct known instances and this confidence; an instance becomes known above ACCEPT.
 SUPPORT, CONFIDENT, ACCEPT = 5, 0.7, 0.7
 
@@ -137,7 +137,7 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bootstrap(places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(patterns, instances) that are confident after ROUNDS: pattern, kind, confidence; instance, kind.
+    """(patterns, instances) that are confident once nothing new becomes known: pattern, kind, confidence; instance, kind.
 
     places: instance, pattern, seed. Counts are of distinct pattern-instance
     links, so a copied text counts once; both groupings are combined before the
@@ -146,8 +146,9 @@ def bootstrap(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = written(places.where("pattern is not null").select("pattern", "instance").distinct(), "pii-links")
     known = places.where("seed is not null").groupBy("instance").agg(F.min("seed").alias("kind"))
     known = written(known, "pii-known0")
-    patterns = None
-    for turn in range(1, ROUNDS + 1):
+    turn = 0
+    while True:
+        turn += 1
         judged = links.join(known, "instance", "left")
         tally = judged.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
         best = F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind")))
@@ -156,8 +157,10 @@ def bootstrap(places: DataFrame) -> tuple[DataFrame, DataFrame]:
         patterns = written(per.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern", "kind", "confidence"), f"pii-patterns{turn}")
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))))
         grown = links.join(patterns, "pattern").groupBy("instance").agg((1 - doubt).alias("sure"), F.max(F.struct("confidence", "kind"))["kind"].alias("kind")).where(F.col("sure") >= ACCEPT).select("instance", "kind")
-        known = written(known.unionByName(grown.join(known.select("instance"), "instance", "left_anti")), f"pii-known{turn}")
-    return patterns, known
+        fresh = written(grown.join(known.select("instance"), "instance", "left_anti"), f"pii-fresh{turn}")
+        if not fresh.limit(1).count():
+            return patterns, known
+        known = written(known.unionByName(fresh), f"pii-known{turn}")
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

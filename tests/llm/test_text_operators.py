@@ -111,6 +111,15 @@ def test_pii_patterns_discover_unseen_identifiers_and_leave_prose_alone(spark):
     assert out[101] == ""
 
 
+def test_pii_bootstrap_goes_on_until_nothing_new_is_known(spark):
+    # pattern p holds seven instances of the pattern before and three of its own: one pattern more each turn
+    steps = 7
+    rows = [(i, p, "secret" if i < 10 else None) for p in range(steps) for i in range(3 * p, 3 * p + 10)]
+    patterns, known = pii.bootstrap(spark.createDataFrame(rows, "instance long, pattern long, seed string"))
+    assert {r.pattern for r in patterns.collect()} == set(range(steps))
+    assert {r.instance for r in known.collect()} == set(range(3 * steps + 7))
+
+
 def test_decontamination_finds_passages_and_checks_slots(spark):
     item = "In the year 1999 the farmer Smith sold 12 kg of apples to Jones for 30 dollars and then 12 more."
     other = "Plain words only make up this second item which is long enough to be found by any window"
