@@ -6,7 +6,8 @@ WINDOW tokens of the documents are hash-joined to the windows of the benchmark
 items.  A diagonal (document position minus item position) counts only if its
 slots are consistent: each value of the item stands for one value in the
 document.  So a question with other numbers or names is caught, and a table of
-unrelated numbers is not.
+unrelated numbers is not.  Windows that are mostly placeholders are joined with
+their values, and items shorter than a window as a whole with theirs.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from quillon.llm.workdir import written
 
 WINDOW = 8
-#: A window of an item needs this many tokens that are not placeholders.
+#: A window with fewer tokens that are not placeholders must have equal values.
 PLAIN = 4
 #: A document is contaminated by an item of which it holds this many tokens, or this share.
 COVERED, SHARE = 13, 0.6
@@ -47,9 +48,32 @@ def _hashes(tokens_col: Column) -> Column:
     return F.transform(tokens_col, lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(t)))
 
 
-def _windows(h: Column) -> Column:
+def _exact(tokens_col: Column) -> Column:
+    return F.transform(tokens_col, lambda t: F.xxhash64(t))
+
+
+def _slots(tokens_col: Column) -> Column:
+    return F.transform(tokens_col, lambda t: _is_slot(t).cast("int"))
+
+
+def _windows(h: Column, e: Column, s: Column) -> Column:
+    """Keys of all windows: of the types (h), or of the values (e) where fewer than PLAIN tokens are no slots (s)."""
     n = F.size(h) - WINDOW
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(WINDOW)])))
+
+    def key(i: Column) -> Column:
+        slots = F.get(s, i)
+        for j in range(1, WINDOW):
+            slots = slots + F.get(s, i + j)
+        typed, valued = (F.xxhash64(*[F.get(x, i + j) for j in range(WINDOW)], *more) for x, more in ((h, []), (e, [F.lit(WINDOW)])))
+        return F.when(slots <= WINDOW - PLAIN, typed).otherwise(valued)
+
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), key))
+
+
+def _whole(e: Column, length: int) -> Column:
+    """Keys of all stretches of length tokens with their values."""
+    n = F.size(e) - length
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(F.lit(length), *[F.get(e, i + j) for j in range(length)]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _once(rows: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
@@ -57,13 +81,39 @@ def _once(rows: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode(F.array(value)).alias(name))
 
 
+def _arrays(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows (t: tokens) with h, e and s, what the keys of windows are made of."""
+    rows = _once(rows, "h", _hashes(F.col("t")), *keep, "t")
+    rows = _once(rows, "e", _exact(F.col("t")), *keep, "t", "h")
+    return _once(rows, "s", _slots(F.col("t")), *keep, "t", "h", "e")
+
+
+def _item_tokens(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return _once(benchmark.withColumn("item_id", F.col(id_col)), "t", tokens(F.col(text_col)), "item_id").distinct()
+
+
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, length (tokens), ipos, window, values (the WINDOW tokens). Items of fewer tokens than a window have none: too short to tell."""
-    rows = _once(benchmark.withColumn("item_id", F.col(id_col)), "t", tokens(F.col(text_col)), "item_id").distinct()
-    rows = _once(rows, "h", _hashes(F.col("t")), "item_id", "t")
-    rows = rows.select("item_id", F.size("t").alias("length"), "t", F.posexplode(_windows(F.col("h"))).alias("ipos", "window"))
-    rows = rows.withColumn("values", F.slice("t", F.col("ipos") + 1, WINDOW)).drop("t")
-    return rows.where(F.size(F.filter("values", lambda x: ~_is_slot(x))) >= PLAIN)
+    """item_id, length (tokens), ipos, window, values (the WINDOW tokens). Items of fewer tokens than a window have none, see short_items."""
+    rows = _arrays(_item_tokens(benchmark, id_col, text_col), "item_id")
+    rows = rows.select("item_id", F.size("t").alias("length"), "t", F.posexplode(_windows(F.col("h"), F.col("e"), F.col("s"))).alias("ipos", "window"))
+    return rows.withColumn("values", F.slice("t", F.col("ipos") + 1, WINDOW)).drop("t")
+
+
+def short_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id, length, slots (distinct ones), window (key of the whole item) of the items of 1 to WINDOW - 1 tokens."""
+    rows = _once(_item_tokens(benchmark, id_col, text_col).where(F.size("t").between(1, WINDOW - 1)), "e", _exact(F.col("t")), "item_id", "t")
+    key = F.coalesce(*[F.when(F.size("t") == n, F.get(_whole(F.col("e"), n), F.lit(0))) for n in range(1, WINDOW)])
+    return rows.select("item_id", F.size("t").alias("length"), F.size(F.array_distinct(F.filter("t", _is_slot))).alias("slots"), key.alias("window"))
+
+
+def _short_leaks(rows: DataFrame, short: DataFrame) -> DataFrame:
+    """leaks of the short items: verbatim, as a whole."""
+    lengths = sorted(r["length"] for r in short.select("length").distinct().collect())  # at most WINDOW - 1
+    few = short.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    e = _once(_once(rows, "t", tokens(F.col("text")), "k1", "k2", "doc_id"), "e", _exact(F.col("t")), "k1", "k2", "doc_id")
+    keys = F.concat(*[_whole(F.col("e"), n) for n in lengths]) if lengths else F.array().cast("array<bigint>")
+    found = e.select("k1", "k2", "doc_id", F.explode(F.array_distinct(keys)).alias("window")).join(F.broadcast(short) if few else short, "window")
+    return found.select("k1", "k2", "doc_id", "item_id", F.col("length").cast("long").alias("covered"), F.lit(1.0).alias("share"), F.col("slots").cast("long").alias("slots")).distinct()
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,7 +132,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     few = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hit = items.select("item_id", "ipos", "window")
     rows = _keyed(docs, id_col, text_col)
-    found = _once(_once(rows, "t", tokens(F.col("text")), "k1", "k2"), "h", _hashes(F.col("t")), "k1", "k2").select("k1", "k2", F.posexplode(_windows(F.col("h"))).alias("pos", "window"))
+    found = _arrays(_once(rows, "t", tokens(F.col("text")), "k1", "k2"), "k1", "k2").select("k1", "k2", F.posexplode(_windows(F.col("h"), F.col("e"), F.col("s"))).alias("pos", "window"))
     found = written(found.join(F.broadcast(hit) if few else hit, "window").select("k1", "k2", "item_id", "pos", "ipos").distinct(), "decontam-hits")
     # a short stretch can't be enough: these go no further
     enough = found.groupBy("k1", "k2", "item_id").agg(F.count_distinct("ipos").alias("n"))
@@ -98,14 +148,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     own = F.slice("t", F.col("pos") + 1, WINDOW)
     pairs = F.filter(F.zip_with("values", own, lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), lambda p: _is_slot(p["item"]))
     hits = hits.select("k1", "k2", "doc_id", "item_id", "length", "ipos", (F.col("pos") - F.col("ipos")).alias("diagonal"), pairs.alias("pairs"))
-    by_diagonal = hits.groupBy("k1", "k2", "doc_id", "item_id", "length", "diagonal").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.collect_set("ipos").alias("all"), F.collect_set(F.when(F.size("pairs") == 0, F.col("ipos"))).alias("plain"))
+    valued = F.size("pairs") > WINDOW - PLAIN  # joined with its values
+    by_diagonal = hits.groupBy("k1", "k2", "doc_id", "item_id", "length", "diagonal").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.collect_set("ipos").alias("all"), F.collect_set(F.when((F.size("pairs") == 0) | valued, F.col("ipos"))).alias("plain"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
     kept = by_diagonal.select("k1", "k2", "doc_id", "item_id", "length", F.when(consistent, F.col("all")).otherwise(F.col("plain")).alias("at"), F.when(consistent, F.size("pairs")).otherwise(0).alias("slots"))
     at = F.array_sort(F.array_distinct(F.flatten(F.collect_list("at"))))
     out = kept.groupBy("k1", "k2", "doc_id", "item_id", "length").agg(at.alias("at"), F.max("slots").alias("slots"))
     covered = F.aggregate("at", F.struct(F.lit(-WINDOW).alias("p"), F.lit(0).alias("n")), lambda a, x: F.struct(x.alias("p"), (a["n"] + F.least(F.lit(WINDOW), x - a["p"])).alias("n")))["n"]
     out = out.withColumn("covered", covered.cast("long")).withColumn("share", F.col("covered") / F.col("length"))
-    return out.where((F.col("covered") >= COVERED) | (F.col("share") >= SHARE)).select("k1", "k2", "doc_id", "item_id", "covered", "share", F.col("slots").cast("long").alias("slots"))
+    out = out.where((F.col("covered") >= COVERED) | (F.col("share") >= SHARE)).select("k1", "k2", "doc_id", "item_id", "covered", "share", F.col("slots").cast("long").alias("slots"))
+    short = written(short_items(benchmark), "decontam-short")
+    return out.union(_short_leaks(rows, short)) if short.limit(1).count() else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

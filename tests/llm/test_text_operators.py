@@ -138,6 +138,15 @@ def test_decontamination_finds_passages_and_checks_slots(spark):
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_number_dense_and_short_items(spark):
+    bench = spark.createDataFrame([(1, "Add 12, 15, 18, 21, 24, 27 and 30 together"), (2, "How many moons has Mars?"), (3, "Is 17 really a prime number?")], "item_id long, text string")
+    texts = ["we read: add 12, 15, 18, 21, 24, 27 and 30 together, and more", "a table 1 2 3 4 5 6 7 8 9 10 11 12", "so how many moons has Mars? two", "how many moons has Venus?", "is 19 really a prime number?", "is 17 really a prime number?", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontam.leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(0, 1), (2, 2), (5, 3)]
+    assert {r.item_id: r.slots for r in rows}[3] == 1
+
+
 def test_decontamination_against_brute_force(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
