@@ -606,11 +606,18 @@ def word_tfidf(spark, sf_dir):
     return extract.tfidf(d, "doc_id", F.col("terms"), 2, 500).withColumn("weight", r6(F.col("weight")))
 
 
+@query()
+def word_tfidf_all(spark, sf_dir):
+    """word_tfidf with the reference's 20,000 terms (the 500 are in the other's SQL)."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]", " ")), " "), lambda x: x != "").alias("terms"))
+    return extract.tfidf(d, "doc_id", F.col("terms"), 2, 20_000).withColumn("weight", r6(F.col("weight")))
+
+
 @query()
 def ngram_tfidf(spark, sf_dir):
-    """Character n-grams of 3 to 5 inside words of the benchmark items, TF-IDF weighted."""
-    b = read(spark, sf_dir, "benchmark")
-    return extract.tfidf(b, "item_id", extract.word_ngrams(F.col("text"))).withColumn("weight", r6(F.col("weight")))
+    """Character n-grams of 3 to 5 inside words of the documents, TF-IDF weighted; 20,000 terms."""
+    d = read(spark, sf_dir, "documents")
+    return extract.tfidf(d, "doc_id", extract.word_ngrams(F.col("text"))).withColumn("weight", r6(F.col("weight")))
 
 
 @query()
