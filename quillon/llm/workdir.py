@@ -55,3 +55,31 @@ def dropped(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Intermediate tables of one call, in one folder of the shared folder, dropped together once nothing reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, table_path(spark, name)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        dropped(self.spark, self.path)
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that df doesn't have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

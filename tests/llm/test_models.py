@@ -7,11 +7,12 @@ import pyarrow as pa
 import pytest
 
 from quillon.llm import neardup, quality, toxicity
+from quillon.llm.workdir import Scratch
 
 
 def brute_classes(texts: list[str], weight: np.ndarray) -> list[int]:
     d, v, c, begin, keys = neardup.shingles(pa.array(texts, pa.string()))
-    w = c * np.exp(weight[(v % np.uint64(neardup.BUCKETS)).astype(int)])
+    w = c * np.exp(weight.log(v))
     rows = [(v[begin[i] : begin[i + 1]], w[begin[i] : begin[i + 1]]) for i in range(len(texts))]
     root = list(range(len(texts)))
 
@@ -73,7 +74,7 @@ def test_a_large_group_of_copies_is_one_class(spark):
 def all_pairs_classes(texts: list[str], weight: np.ndarray) -> list[int]:
     """Classes by every pair of texts, in rows of a dense matrix; no pair is left out."""
     d, v, c, begin, _ = neardup.shingles(pa.array(texts, pa.string()))
-    w = c * np.exp(weight.astype(np.float32).astype(float)[(v % np.uint64(neardup.BUCKETS)).astype(int)])
+    w = c * np.exp(weight.log(v))
     names, col = np.unique(v, return_inverse=True)
     dense = np.zeros((len(texts), len(names)))
     dense[d, col] = w
@@ -118,7 +119,7 @@ def test_small_buckets_verify_members_that_are_no_heads(spark):
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)] + [(b"\xf0", b"\xf1")], "a binary, b binary")
-    out = {bytes(r.node): bytes(r.label) for r in neardup.components(edges).collect()}
+    out = {bytes(r.node): bytes(r.label) for r in neardup.components(edges, Scratch(spark, "components")).collect()}
     assert {out[bytes([i])] for i in range(41)} == {b"\x00"} and out[b"\xf1"] == b"\xf0"
 
 
