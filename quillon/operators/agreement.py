@@ -49,14 +49,20 @@ def cohen_kappa(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
 
 
 def quadratic_kappa(df: DataFrame, a: str, b: str, levels: list[str], *by: str) -> DataFrame:
-    """by..., n, qwk: agreement on ordered levels, quadratic weights; null where the expected disagreement is zero. A label outside the levels makes the row null and is left out.
+    """by..., n, qwk: agreement on ordered levels, quadratic weights; null where the expected disagreement is zero. A label outside the levels raises when the result is computed.
 
     Needs no table of pairs: the mean squared difference and the first two moments of each rater.
     """
     index = F.create_map(*[x for i, v in enumerate(levels) for x in (F.lit(v), F.lit(float(i)))])
-    rows = df.select(*by, index[F.col(a)].alias("x"), index[F.col(b)].alias("y")).where("x is not null and y is not null")
+
+    def level(c: str) -> Column:
+        return F.coalesce(index[F.col(c)], F.raise_error(F.concat(F.lit("outside the ordinal scale: "), F.coalesce(F.col(c).cast("string"), F.lit("null")))).cast("double"))
+
+    if len(set(levels)) != len(levels) or len(levels) < 2:
+        raise ValueError("an ordinal scale has two different levels at least")
+    rows = df.select(*by, level(a).alias("x"), level(b).alias("y"))
     m = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("x") - F.col("y")) ** 2).alias("d"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.col("x") ** 2).alias("xx"), F.avg(F.col("y") ** 2).alias("yy"))
-    scale = float(max(len(levels) - 1, 1) ** 2)
+    scale = float((len(levels) - 1) ** 2)
     expected = F.col("xx") + F.col("yy") - 2 * F.col("mx") * F.col("my")
     return m.select(*by, "n", F.when(expected / scale >= TINY, F.round(1 - F.col("d") / expected, 6)).alias("qwk"))
 

@@ -59,7 +59,7 @@ def audit_corpus(tasks: DataFrame, expected: int | None = None) -> DataFrame:
     parts = [
         row_issues(t, "task_id", [(f"forbidden_{name}", F.col("_both").rlike(p)) for name, p in text.SENSITIVE.items()] + [("missing_text", F.coalesce(F.trim("task_text") == "", F.lit(True)))]),
         repeated(t, "task_id_not_unique", F.col("task_id")),
-        repeated(t, "text_not_unique", text.normalized(F.col("_both"))),
+        repeated(t, "text_not_unique", text.text_key(F.col("_both"))),
     ]
     if expected is not None:
         n = t.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != expected)
@@ -175,15 +175,15 @@ def release_gate(tasks: DataFrame, status: str = "human_text_review") -> DataFra
 
 
 def overlap(left: DataFrame, right: DataFrame, left_text: str, right_text: str) -> DataFrame:
-    """Rows of left whose normalised text is also in right."""
-    keys = right.select(F.sha2(text.normalized(F.col(right_text)).cast("binary"), 256).alias("_k")).distinct()
-    return left.join(keys, F.sha2(text.normalized(F.col(left_text)).cast("binary"), 256) == F.col("_k"), "left_semi")
+    """Rows of left whose text (see text.text_key) is also in right."""
+    keys = right.select(F.sha2(text.text_key(F.col(right_text)).cast("binary"), 256).alias("_k")).distinct()
+    return left.join(keys, F.sha2(text.text_key(F.col(left_text)).cast("binary"), 256) == F.col("_k"), "left_semi")
 
 
 def audit_calibration(items: DataFrame, corpus: DataFrame, fields: Sequence[str]) -> DataFrame:
     """items: item_id, task_text, field. Repeated texts, texts of the corpus, fields without an item."""
     need = items.sparkSession.createDataFrame([(f,) for f in fields], "field string")
-    return together([repeated(items, "text_repeated", text.normalized(F.col("task_text"))), issues(overlap(items, corpus, "task_text", "task_text"), "text_in_corpus", F.col("item_id")), issues(need.join(items, "field", "left_anti"), "field_not_covered", F.col("field"))])
+    return together([repeated(items, "text_repeated", text.text_key(F.col("task_text"))), issues(overlap(items, corpus, "task_text", "task_text"), "text_in_corpus", F.col("item_id")), issues(need.join(items, "field", "left_anti"), "field_not_covered", F.col("field"))])
 
 
 def same_orders(packets: DataFrame) -> DataFrame:

@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def _folder(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{told.rstrip('/') if told else 'file://' + tempfile.mkdtemp(prefix='quillon-')}/stream-{uuid.uuid4().hex}"
+    if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        told = "file://" + tempfile.mkdtemp(prefix="quillon-")
+    return f"{told.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(spark: SparkSession, df: DataFrame, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:

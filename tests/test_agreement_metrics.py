@@ -69,3 +69,11 @@ def test_binary_scores_without_positives(spark):
 def test_grounding_without_evidence(spark):
     df = spark.createDataFrame([([], "text")], "e array<string>, t string")
     assert tuple(metrics.grounding(df, "e", "t").first()) == (0, 1.0)
+
+
+def test_labels_outside_an_ordinal_scale_raise(spark):
+    df = spark.createDataFrame([("low", "high"), ("low", "odd")], "a string, b string")
+    with pytest.raises(Exception, match="outside the ordinal scale: odd"):
+        agreement.quadratic_kappa(df, "a", "b", ["low", "high"]).collect()
+    with pytest.raises(ValueError):
+        agreement.quadratic_kappa(df, "a", "b", ["low", "low"])

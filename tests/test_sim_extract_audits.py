@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import text
 from quillon.operators import audits, extract, sim
 
 DEVICE = sim.Device(2e9, 1e-28, 2.0, 1.0, 0.5, 0.99, 0.80, 100.0)
@@ -88,7 +89,8 @@ def test_rules(spark):
 
 def test_ngrams(spark):
     df = spark.createDataFrame([("ab, C",)], "t string")
-    assert df.select(extract.word_ngrams(F.col("t"))).first()[0] == [" ab", "ab ", " ab ", " c "]
+    got = {r.term: r.tf for r in extract._term_counts(df.withColumn("k", F.lit(1)), "k", extract.word_ngrams(F.col("t"))).collect()}
+    assert got == {" ab": 1, "ab,": 1, "b, ": 1, " ab,": 1, "ab, ": 1, " ab, ": 1, " c ": 1}  # a mark belongs to its word
 
 
 def test_linear_head(spark):
@@ -145,3 +147,33 @@ def test_evidence_and_abstention(spark):
     for held, n in ((["g"], 0), (["f"], 1), ([], 1)):
         a = spark.createDataFrame([("t", held)], "task_id string, abstained_fields array<string>")
         assert audits.abstention_issues(a, l).count() == n
+
+
+def test_text_key_is_compatible_and_folded(spark):
+    rows = [("Ｆｕｌｌ  width",), ("full width",), ("STRASSE",), ("straße",), ("ﬁne",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.text_key(F.col("t"))).collect()]
+    assert got == ["full width", "full width", "strasse", "strasse", "fine", None]
+
+
+def test_ngrams_keep_marks_inside_words(spark):
+    df = spark.createDataFrame([(1, "a,b  É a,b")], "id int, t string")
+    got = {r.term: r.tf for r in extract._term_counts(df, "id", extract.word_ngrams(F.col("t"))).collect()}
+    assert got == {" a,": 2, "a,b": 2, ",b ": 2, " a,b": 2, "a,b ": 2, " a,b ": 2, " e ": 1}
+
+
+def test_a_fitted_vocabulary_is_applied_to_other_rows(spark):
+    train = spark.createDataFrame([(1, "red red blue"), (2, "red green"), (3, "blue green")], "id int, t string")
+    words = F.split("t", " ")
+    v = extract.fit_tfidf(train, "id", words, 2)
+    assert {r.term: r.term_id for r in v.collect()} == {"blue": 0, "green": 1, "red": 2}
+    other = spark.createDataFrame([(9, "red new"), (10, "new")], "id int, t string")
+    got = extract.apply_tfidf(other, "id", words, v).collect()
+    assert [(r.id, [(c.term, round(c.weight, 6)) for c in r.cells]) for r in got] == [(9, [("red", 1.0)])]
+
+
+def test_text_classifier_learns_marked_texts(spark):
+    rows = [(i, f"gut {'freundlich' if i % 2 else 'schlecht'} wort{i % 5}", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, t string, y int")
+    predict = extract.fit_text_classifier(df.where("id < 40"), "id", "t", "y", max_iter=20)
+    out = predict(df.where("id >= 40").unionByName(spark.createDataFrame([(99, "", 0)], df.schema))).collect()
+    assert len(out) == 21 and all(str(r.y) == r.prediction for r in out if r.id != 99)

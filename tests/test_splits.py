@@ -67,3 +67,26 @@ def test_presentation_order_and_subset(spark):
     for ids in ([1, 1], [1, 99]):
         with pytest.raises(ValueError):
             splits.ordered_subset(df, "id", ids)
+
+
+@pytest.mark.parametrize("rows", [1_000_000])
+def test_orders_of_many_rows_are_whole(spark, rows):
+    """More rows than a sampled range partitioning sees, and only some columns read: the order is still 1..n."""
+    df = spark.range(rows).withColumn("extra", F.rand(1))
+    got = splits.presentation_order(df, "id", "s").select("presentation_order").agg(F.count_distinct("presentation_order").alias("d"), F.min("presentation_order").alias("a"), F.max("presentation_order").alias("b")).first()
+    assert (got.d, got.a, got.b) == (rows, 1, rows)
+    groups = splits.group_holdout_groups(df, "id", 7)
+    n = groups.agg(F.count_distinct("idx").alias("d"), F.max("idx").alias("b"), F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "validation").alias("v")).first()
+    assert (n.d, n.b, n.t, n.v) == (rows, rows, 700_000, 150_000)
+
+
+def test_running_sums_by_time_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(splits, "RANGE_ROWS", 100)
+    rows = [((i * 7919) % 5003, 1 + i % 5) for i in range(5003)]
+    df = spark.createDataFrame(rows, "t long, n long").select(F.timestamp_seconds("t").alias("t"), "n")
+    got = {r.x: (r.idx, r.cum) for r in splits._running(df, "t").select(F.unix_seconds("t").alias("x"), "idx", "cum").collect()}
+    want, cum = {}, 0
+    for i, (t, n) in enumerate(sorted(rows), 1):
+        cum += n
+        want[t] = (i, cum)
+    assert got == want
