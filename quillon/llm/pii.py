@@ -1,8 +1,9 @@
 """PII: exact base patterns, and bootstrapped contextual extraction.
 
-Base spans (e-mail, IP, card, phone) and long mixed hexadecimal strings are the
-seeds.  Each identifier-like token and each seed occurs in a lexical pattern: the
-word before it and what connects them.  On the graph of patterns and instances
+Base spans (e-mail, IP, card, phone) and long strings of mixed hexadecimal digits
+or of capitals and digits are the seeds.  Each identifier-like token and each
+seed occurs in lexical patterns: the word before it and what connects them, and
+of an identifier that begins with four capitals these and its length.  On the graph of patterns and instances
 Spark alternates between two scores: a pattern's confidence is the share of its
 distinct instances that are known identifiers, an instance's the probability
 that not all its confident patterns err; instances above ACCEPT become known.
@@ -27,15 +28,21 @@ from quillon.llm.workdir import mapped, written
 #: A pattern counts from this many distinct known instances and this confidence; an instance becomes known above ACCEPT.
 SUPPORT, CONFIDENT, ACCEPT = 5, 0.7, 0.7
 
+#: Characters of the longest secret.
+LONGEST = 256
+
 # The base patterns and their order.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")  # an e-mail address: a local part, "@", a domain
+_ROW = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # of a row of dotted numbers each four are an IP address
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile("[0-9]")
 _TOKEN = re.compile(r"""[^\s"'<>()\[\]{},;=:|]{6,}""")
-_HEX = re.compile(r"(?=[0-9a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{16,}")
+#: Seeds besides the base kinds: 16 or more hexadecimal digits, or capitals and digits, with both letters and digits.
+_SECRET = re.compile(r"(?=[0-9a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{16,}|(?=[0-9A-Z]*[0-9])(?=[0-9]*[A-Z])[0-9A-Z]{16,}")
+#: Four capitals that begin an identifier: with its length they are a pattern too.
+_HEAD = re.compile(r"[A-Z]{4}[0-9A-Z]+")
 _BEFORE = re.compile(r"""(\w{1,40})([\s"'<>()\[\]{},;=:|]{1,8})$""")
 
 
@@ -47,14 +54,44 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> list[tuple[str, int, int]]:
+    """Leftmost non-overlapping addresses in one pass: a match ends its local part at an "@" and begins it at the start of that run of characters, or where the match before has ended."""
+    out, done = [], 0
+    for run in LOCAL.finditer(text):
+        start, at = max(run.start(), done), run.end()
+        if start < at < len(text) and text[at] == "@" and (domain := DOMAIN.match(text, at + 1)):
+            done = domain.end()
+            out.append(("email", start, done))
+    return out
+
+
+def _ips(text: str) -> list[tuple[str, int, int]]:
+    """Leftmost non-overlapping groups of four in each longest row of dotted numbers, those with parts of at most 255."""
+    out = []
+    for row in _rows(text):
+        parts, at = row[0].split("."), row.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in four):
+                out.append(("ip", at, end))
+            at = end + 1
+    return out
+
+
+def _rows(text: str) -> Iterator[re.Match]:
+    """Longest rows of dotted numbers with three dots or more; a long number before a dot is read once."""
+    return (m for m in _ROW.finditer(text) if m[0].count(".") >= 3)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """All base spans by kind, then start; code points, end exclusive. Matches that fail their test are dropped without another try."""
     out = []
     if "@" in text:
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+        out += _emails(text)
     if _DIGITS.search(text):
         if "." in text:
-            out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))]
+            out += _ips(text)
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = _join(m[0])
@@ -90,12 +127,15 @@ def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
             i += 1
         if i < len(taken) and taken[i][0] < e:
             continue
-        found.append((s, e, "secret" if _HEX.fullmatch(text, s, e) else None))
+        found.append((s, e, "secret" if e - s <= LONGEST and _SECRET.fullmatch(text, s, e) else None))
     out = []
     for s, e, kind in found:
         m = _BEFORE.search(text[max(0, s - 48) : s])
         pattern = _number(f"{m[1].lower()}\0{' '.join(m[2].split()) or ' '}") if m else None
-        out.append({"start": s, "end": e, "instance": _number(text[s:e]), "pattern": pattern, "seed": kind, "base": kind in KINDS})
+        one = {"start": s, "end": e, "instance": _number(text[s:e]), "pattern": pattern, "seed": kind, "base": kind in KINDS}
+        out.append(one)
+        if e - s <= LONGEST and _HEAD.fullmatch(text, s, e):
+            out.append(one | {"pattern": _number(f"{text[s : s + 4]}\1{e - s}")})
     return out
 
 
@@ -164,7 +204,7 @@ def bootstrap(places: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
+    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (all of them, long).
 
     spans: kind:start:end of base spans and of what the bootstrapping adds, base
     kinds first, then by start. A null or empty text has none (an empty string);
@@ -173,7 +213,7 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scanned = written(_scanned(docs, id_col, text_col), "pii-scanned")
     places = written(scanned.select("row", F.explode("found").alias("o")).select("row", "o.*"), "pii-places")
     patterns, known = bootstrap(places)
-    seen = known.join(places.where("seed is not null and not base").select("instance").distinct(), "instance", "left_anti")  # a hexadecimal seed needs a confident pattern
+    seen = known.join(places.where("seed is not null and not base").select("instance").distinct(), "instance", "left_anti")  # a secret seed needs a confident pattern
     new = places.where(~F.col("base")).join(patterns.select("pattern", F.col("kind").alias("by_pattern")), "pattern", "left").join(seen.select("instance", F.col("kind").alias("by_instance")), "instance", "left")
     kind = F.coalesce("seed", "by_pattern", "by_instance")
     new = new.where("by_pattern is not null or by_instance is not null").groupBy("row").agg(F.array_sort(F.collect_set(F.struct(kind.alias("kind"), F.col("start"), F.col("end")))).alias("more"))
@@ -183,7 +223,7 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = F.transform(F.concat(parsed, F.coalesce("more", F.array().cast(parsed_type()))), lambda x: F.struct(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]), F.lit(0)), F.lit(9)).alias("o"), x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     text = F.transform(F.array_sort(order), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_join(text, ","))
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"), (F.size(base) + F.coalesce(F.size("more"), F.lit(0))).cast("long").alias("n_spans"))
 
 
 def parsed_type() -> str:
