@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -51,6 +52,8 @@ def load(path: str):
 
     told = json.loads(open(path, encoding="utf-8").read())
     pre = told["pre_tokenizer"] or {}
+    if any(x.get(k) for x in told["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take white space or whole words only aren't supported")
     if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or told["normalizer"] or told["model"].get("ignore_merges"):
         raise ValueError("a byte-level tokenizer with the standard pattern is needed")
     return Tokenizer.from_file(path), {x["content"]: x["id"] for x in told["added_tokens"]}
@@ -148,6 +151,22 @@ class Memo:
         return self.flat[np.arange(total) + np.repeat(self.begin[slots] - (ends - counts), counts)], counts
 
 
+#: Longer texts are taken in pieces of about so many characters.
+PIECE = 1 << 20
+_BORDER = re.compile(r"(?<=\S) (?=\S)")
+
+
+def pieces(text: str, added: dict[str, int]) -> list[str]:
+    """A long text cut before single spaces between other characters, where a pretoken always begins; whole if an added token has a space."""
+    if len(text) <= PIECE or any(" " in a for a in added):
+        return [text]
+    out, at = [], 0
+    while len(text) - at > PIECE and (m := _BORDER.search(text, at + PIECE)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
+
+
 class Ids:
     """Token ids of documents, as the library gives them without added begin or end tokens."""
 
@@ -162,7 +181,10 @@ class Ids:
         return np.fromiter((i for x in found for i in x), self.dtype, int(counts.sum())), counts
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all the texts one after another, and how many each text has."""
+        """Ids of all the texts one after another, and how many each text has. A single long text is taken in pieces."""
+        if len(texts) == 1 and len(cut := pieces(texts[0].as_py() or "", self.added)) > 1:
+            ids = np.concatenate([self.of(pa.array([x], pa.string()))[0] for x in cut])
+            return ids, np.array([len(ids)], np.int64)
         chunk = Chunk(texts)
         raw = chunk.buf.tobytes()
         if any(s.encode() in raw for s in self.added):  # rare: the library does these texts itself
@@ -265,7 +287,15 @@ class PrefixCounts:
         return values, counts
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of every prefix (in code points, the empty prefix first) of every text one after another, and how many each text has."""
+        """Counts of every prefix (in code points, the empty prefix first) of every text one after another, and how many each text has. A single long text is taken in pieces."""
+        if len(texts) == 1 and len(cut := pieces(texts[0].as_py() or "", self.added)) > 1:
+            out, done = [np.zeros(1, np.int32)], 0
+            for x in cut:
+                counts = self.of(pa.array([x], pa.string()))[0][1:] + done
+                out.append(counts.astype(np.int32))
+                done = int(counts[-1])
+            every = np.concatenate(out)
+            return every, np.array([len(every)], np.int64)
         chunk = Chunk(texts)
         raw = chunk.buf.tobytes()
         if any(s.encode() in raw for s in self.added):
