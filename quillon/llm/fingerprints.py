@@ -93,8 +93,9 @@ def edited_pair(text: str, after: str) -> tuple[str, np.ndarray, np.ndarray]:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows dealt so that each document meets the next one (descending id) in one task.
 
-    Ranges of ids get buckets; the last document of a bucket also goes, as a
-    guest, to the bucket that needs it.  One shuffle of the texts.  Columns:
+    Ranges of ids get buckets, each a task of its own; the last document of a
+    bucket also goes, as a guest, to the bucket that needs it.  One shuffle of the
+    texts.  Ids are whole numbers, or texts of them.  Columns:
     bucket, guest, k (the id, null first), doc_id, text.
     """
     spark = docs.sparkSession
@@ -111,7 +112,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     visit = F.struct(guest_of[F.col("k")].cast("int").alias("bucket"), F.lit(True).alias("guest"))
     places = F.when(F.col("k").isin(list(to)), F.array(own, visit)).otherwise(F.array(own))
     rows = rows.withColumn("_p", F.explode(places)).select(F.col("_p.bucket").alias("bucket"), F.col("_p.guest").alias("guest"), "k", "doc_id", "text")
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("guest").desc(), "k", "text")
+    return rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.col("guest").desc(), "k", "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
