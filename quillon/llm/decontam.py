@@ -28,6 +28,8 @@ BROADCAST_ROWS = 1_000_000
 # Units of measure that become placeholders after a number.
 UNITS = "%|°c|°f|kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|yd|l|ml|s|ms|min|h|hr|hz|khz|mhz|ghz|w|kw|v|a|j|kj|n|pa|kb|mb|gb|tb|bit|bits|byte|bytes|usd|eur|gbp|dollars|euros|pounds|cents|meters|metres|kilometers|kilometres|miles|feet|inches|grams|kilograms|liters|litres|seconds|minutes|hours|days|weeks|months|years|degrees|percent"
 _MARK = "\x01"
+#: Scripts without spaces between words: each character is a token.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
 
 
 def tokens(text: Column) -> Column:
@@ -37,7 +39,7 @@ def tokens(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", _MARK + "n$1")
     t = F.regexp_replace(t, r"\p{Nd}+(?:[.,:/]\p{Nd}+)*", f" {_MARK}d$0 ")
     t = F.regexp_replace(F.lower(t), rf"(?<=\p{{Nd}} ) ?({UNITS})(?![\p{{L}}\p{{Nd}}])", _MARK + "u$1")
-    return F.regexp_extract_all(t, F.lit(rf"{_MARK}d[\p{{Nd}}.,:/]+|{_MARK}?[\p{{L}}\p{{M}}%°]+"), F.lit(0))
+    return F.regexp_extract_all(t, F.lit(rf"{_MARK}d[\p{{Nd}}.,:/]+|[{_UNSPACED}]|{_MARK}?[\p{{L}}\p{{M}}%°&&[^{_UNSPACED}]]+"), F.lit(0))
 
 
 def _is_slot(token: Column) -> Column:
@@ -89,7 +91,8 @@ def _arrays(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def _item_tokens(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return _once(benchmark.withColumn("item_id", F.col(id_col)), "t", tokens(F.col(text_col)), "item_id").distinct()
+    """item_id (a struct, so that items without an id meet like others), t (tokens)."""
+    return _once(benchmark.select(F.struct(F.col(id_col).alias("id")).alias("item_id"), F.col(text_col).alias("text")), "t", tokens(F.col("text")), "item_id").distinct()
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +128,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row per contaminated document and item: k1, k2 (row key), doc_id, item_id, covered (tokens of the item found), share, slots (distinct consistent slot pairs).
 
     Null and empty texts hold nothing; equal rows are one row here; an item that
-    occurs twice in the benchmark under one id counts once; an empty benchmark
+    occurs twice in the benchmark under one id counts once; items without an id
+    are found like others (item_id is null); an empty benchmark
     or document table gives no rows.
     """
     items = written(item_windows(benchmark), "decontam-items")
@@ -158,13 +162,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     out = out.withColumn("covered", covered.cast("long")).withColumn("share", F.col("covered") / F.col("length"))
     out = out.where((F.col("covered") >= COVERED) | (F.col("share") >= SHARE)).select("k1", "k2", "doc_id", "item_id", "covered", "share", F.col("slots").cast("long").alias("slots"))
     short = written(short_items(benchmark), "decontam-short")
-    return out.union(_short_leaks(rows, short)) if short.limit(1).count() else out
+    if short.limit(1).count():
+        out = out.union(_short_leaks(rows, short))
+    return out.withColumn("item_id", F.col("item_id.id"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that no item contaminates, with their own columns."""
-    names = docs.columns
-    bad = written(leaks(docs, benchmark, id_col, text_col).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "decontam-bad")
+    bad = written(leaks(docs, benchmark, id_col, text_col).select("k1", "k2").distinct(), "decontam-bad")
     few = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.withColumns({"_r1": F.xxhash64(id_col, text_col), "_r2": F.hash(text_col, id_col)})
-    return rows.join(F.broadcast(bad) if few else bad, (F.col("_r1") == F.col("_k1")) & (F.col("_r2") == F.col("_k2")), "left_anti").select(*names)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(id_col, text_col).alias("k1"), F.hash(text_col, id_col).alias("k2"))
+    return rows.join(F.broadcast(bad) if few else bad, ["k1", "k2"], "left_anti").select("row.*")
