@@ -105,8 +105,6 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The rows of the mix: each row of docs as often as it is taken (0 to 2 times with most=2)."""
     plan, _ = thresholds(docs, id_col=id_col, source_col=source_col, **options)
-    names = docs.columns
-    own = plan.select("source", F.col("whole").alias("_mix_whole"), F.col("below").alias("_mix_below"))
-    rows = docs.withColumns({"_mix_place": place(F.col(id_col)), "_mix_source": F.col(source_col)})
-    out = _matched(rows, own, source="_mix_source").withColumn("_mix_n", copies(F.col("_mix_place"), "_mix_whole", "_mix_below")).where("_mix_n > 0")
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int")))).select(*names)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), place(F.col(id_col)).alias("place"), F.col(source_col).alias("source"))
+    out = _matched(rows, plan.select("source", "whole", "below")).withColumn("n", copies(F.col("place"))).where("n > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).select("row.*")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.textops import U64, Chunk, by_chunk, grams, mix
-from quillon.llm.workdir import mapped, written
+from quillon.llm.workdir import mapped, unused, written
 
 BUCKETS = 1 << 14
 EFFECTIVE = 32.0
@@ -118,10 +118,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model((np.log(target / target.sum()) - np.log(raw / raw.sum())).tobytes())
 
 
-def weighed(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with log_weight as a last column; a text without n-grams (null, empty) has 0."""
+def weighed(docs: DataFrame, model: Model, text_col: str = "text", name: str = "log_weight") -> DataFrame:
+    """docs with the log weight as a last column; a text without n-grams (null, empty) has 0."""
     told = model.ratio
-    schema = T.StructType([*docs.schema.fields, T.StructField("_log_weight", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = np.frombuffer(told)
@@ -186,9 +186,9 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """
     model = fit(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scored = weighed(rows, model).select("doc_id", F.col("_log_weight").alias("log_weight"), (F.col("_log_weight") + gumbel(F.col("doc_id"), F.col("text"))).alias("key"))
+    scored = weighed(rows, model).select("doc_id", "log_weight", (F.col("log_weight") + gumbel(F.col("doc_id"), F.col("text"))).alias("key"))
     scored = written(scored, "quality-keys")
-    judged = _flagged(scored, labels, "doc_id").where("_good is not null").select("_good", "log_weight").toArrow()
+    judged = _flagged(scored, labels, "doc_id").where("_good is not null").groupBy("doc_id", "_good").agg(F.min("log_weight").alias("log_weight")).select("_good", "log_weight").toArrow()
     good = judged.column(0).to_numpy() == 1
     w = judged.column(1).to_numpy()
     cut = parting(w[good], w[~good])
@@ -200,5 +200,6 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the classifier keeps, with their own columns."""
     _, model = classified(docs, labels, id_col, text_col)
-    key = F.col("_log_weight") + gumbel(F.col(id_col), F.col(text_col))
-    return weighed(docs, model, text_col).where(key >= model.key_cut).drop("_log_weight")
+    (name,) = unused(docs, "log_weight")
+    key = F.col(name) + gumbel(F.col(id_col), F.col(text_col))
+    return weighed(docs, model, text_col, name).where(key >= model.key_cut).drop(name)

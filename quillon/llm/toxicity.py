@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     totals = {r["_toxic"]: r["n"] for r in own.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return None
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample.withColumnRenamed("doc_id", "_s")), F.col("_id") == F.col("_s")).select("_id", "_toxic", "text")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample.withColumnRenamed("doc_id", "_s")), F.col("_id") == F.col("_s")).groupBy("_id", "_toxic").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
