@@ -27,7 +27,7 @@ def plain_licenses(text):
 
 def test_license_base_columns_are_exact_and_templates_add_labels(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
-    notice = " ".join(licenses.TEMPLATES[13][1].split()).title()
+    notice = next(t for label, t in licenses.TEMPLATES if label == "gpl-3.0" and "redistribute" in t).title()
     rows = ODD_ROWS + [(100_000 + d.doc_id, d.text) for d in docs] + [(7, "intro words " + notice + " and more"), (8, "This program is free software"), (9, notice.replace("redistribute it", "share it freely"))]
     out = licenses.license_report(frame(spark, rows)).collect()
     assert len(out) == len(rows)
