@@ -27,6 +27,8 @@ from quillon.llm.workdir import dropped, mapped, table_path
 
 BLOCK_IDS = 1 << 16
 LONGEST = 2 * BLOCK_IDS
+#: Bytes of the texts that are encoded together and make a block.
+BLOCK_BYTES = 1 << 19
 
 
 @lru_cache(2)
@@ -73,7 +75,7 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_c
             cols = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
             return pa.RecordBatch.from_arrays([*cols, own_ids, lists(np.concatenate(counts), sizes, pa.int32()), pa.array([every[s:e].tobytes() for s, e in cuts], pa.binary())], schema.names)
 
-        return by_chunk(one, limit=LONGEST)(batches)
+        return by_chunk(one, limit=BLOCK_BYTES)(batches)
 
     return mapped(rows, run, schema)
 

@@ -110,7 +110,7 @@ class Split:
 class Memo:
     """What is known of each distinct pretoken: some integers, kept flat. It starts anew beyond `most` pretokens or values, so its memory is bounded; results don't depend on it."""
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, most: int = 1_000_000):
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], dtype, most: int = 1_000_000):
         self.learn, self.dtype, self.most = learn, dtype, most
         self.clear()
 
@@ -133,8 +133,9 @@ class Memo:
         if new.any():
             raw = chunk.buf.tobytes()
             at = first[new]
-            values, counts = self.learn([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-            slots = len(self.begin) - 1 + np.arange(len(at))
+            values, counts, order = self.learn([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            slots = np.empty(len(at), np.int64)
+            slots[order] = len(self.begin) - 1 + np.arange(len(at))
             self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(counts)))
             self.flat = np.concatenate((self.flat, np.asarray(values, self.dtype)))
             where = pos[new]
@@ -151,6 +152,8 @@ class Memo:
         return self.flat[np.arange(total) + np.repeat(self.begin[slots] - (ends - counts), counts)], counts
 
 
+#: Pretokens of letters that one call of the library takes.
+TOGETHER = 64
 #: Longer texts are taken in pieces of about so many characters.
 PIECE = 1 << 20
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
@@ -175,10 +178,27 @@ class Ids:
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.memo = Memo(self._learn, self.dtype)
 
-    def _learn(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pretokens], add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), self.dtype, int(counts.sum())), counts
+    def _learn(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of each pretoken, in an order of its own. Those of a space and letters stay apart when written one after another, so a call takes TOGETHER of them; it is done again one by one should the library count other words."""
+        words = [p.decode("utf-8") for p in pretokens]
+        plain = [i for i, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
+        alone = sorted(set(range(len(words))).difference(plain))
+        flat: list[int] = []
+        counts, order = [], []
+        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        for g, x in zip(groups, self.tokenizer.encode_batch(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False)):
+            per = np.bincount(np.array(x.word_ids, np.int64), minlength=len(g))
+            if len(per) != len(g) or not per.all():
+                alone += g
+                continue
+            flat += x.ids
+            counts.append(per)
+            order += g
+        rest = [x.ids for x in self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)]
+        for ids in rest:
+            flat += ids
+        counts.append(np.fromiter(map(len, rest), np.int64, len(rest)))
+        return np.array(flat, self.dtype), np.concatenate(counts), np.array(order + alone, np.int64)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts one after another, and how many each text has. A single long text is taken in pieces."""
@@ -273,7 +293,7 @@ class PrefixCounts:
                     break
         return count[1:]
 
-    def _learn(self, pretokens: list[bytes]) -> tuple[list[int], np.ndarray]:
+    def _learn(self, pretokens: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
         values: list[int] = []
         counts = np.zeros(len(pretokens), np.int64)
         for k, p in enumerate(pretokens):
@@ -284,7 +304,7 @@ class PrefixCounts:
                 c = [x for x, nxt in zip(c, [*p[1:], 0]) if nxt & 0xC0 != 0x80]
             values += c
             counts[k] = len(c)
-        return values, counts
+        return values, counts, np.arange(len(pretokens))
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Counts of every prefix (in code points, the empty prefix first) of every text one after another, and how many each text has. A single long text is taken in pieces."""
