@@ -33,14 +33,24 @@ def percent_agreement(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col(a).eqNullSafe(F.col(b)).cast("double")), 6).alias("agreement"))
 
 
-def cohen_kappa(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
+def _weight(weight: str | None) -> Column:
+    return (F.lit(1) if weight is None else F.col(weight)).cast("long")
+
+
+def _mean(c: Column) -> Column:
+    return F.sum(F.col("_w") * c.cast("double")) / F.sum("_w")
+
+
+def cohen_kappa(df: DataFrame, a: str, b: str, *by: str, weight: str | None = None) -> DataFrame:
     """by..., n, observed (rounded to 6 decimals first), kappa (6 decimals; null where chance agreement is total).
 
-    Three grouped counts: of pairs that agree and of each rater's labels.
+    Three grouped counts: of pairs that agree and of each rater's labels. weight:
+    a column of counts, where a row stands for several equal pairs.
     """
-    rows = df.select(*by, _labels(F.col(a)).alias("_a"), _labels(F.col(b)).alias("_b"))
-    totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("_a") == F.col("_b")).cast("double")), 6).alias("observed"))
-    ends = rows.select(*by, F.explode(F.array(F.struct(F.col("_a").alias("label"), F.lit(1).alias("x"), F.lit(0).alias("y")), F.struct(F.col("_b").alias("label"), F.lit(0).alias("x"), F.lit(1).alias("y")))).alias("e"))
+    rows = df.select(*by, _labels(F.col(a)).alias("_a"), _labels(F.col(b)).alias("_b"), _weight(weight).alias("_w"))
+    totals = rows.groupBy(*by).agg(F.sum("_w").alias("n"), F.round(_mean(F.col("_a") == F.col("_b")), 6).alias("observed"))
+    none = F.lit(0).cast("long")
+    ends = rows.select(*by, F.explode(F.array(F.struct(F.col("_a").alias("label"), F.col("_w").alias("x"), none.alias("y")), F.struct(F.col("_b").alias("label"), none.alias("x"), F.col("_w").alias("y")))).alias("e"))
     margins = ends.groupBy(*by, "e.label").agg(F.sum("e.x").alias("x"), F.sum("e.y").alias("y"))
     chance = margins.groupBy(*by).agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("xy"))
     out = totals.join(chance, list(by)) if by else totals.crossJoin(chance)  # one row each
@@ -48,8 +58,8 @@ def cohen_kappa(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     return out.select(*by, "n", "observed", F.when(F.abs(1 - e) >= TINY, F.round((F.col("observed") - e) / (1 - e), 6)).alias("kappa"))
 
 
-def quadratic_kappa(df: DataFrame, a: str, b: str, levels: list[str], *by: str) -> DataFrame:
-    """by..., n, qwk: agreement on ordered levels, quadratic weights; null where the expected disagreement is zero. A label outside the levels raises when the result is computed.
+def quadratic_kappa(df: DataFrame, a: str, b: str, levels: list[str], *by: str, weight: str | None = None) -> DataFrame:
+    """by..., n, qwk: agreement on ordered levels, quadratic weights; null where the expected disagreement is zero. A label outside the levels raises when the result is computed. weight: as for `cohen_kappa`.
 
     Needs no table of pairs: the mean squared difference and the first two moments of each rater.
     """
@@ -60,21 +70,14 @@ def quadratic_kappa(df: DataFrame, a: str, b: str, levels: list[str], *by: str)
 
     if len(set(levels)) != len(levels) or len(levels) < 2:
         raise ValueError("an ordinal scale has two different levels at least")
-    rows = df.select(*by, level(a).alias("x"), level(b).alias("y"))
-    m = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("x") - F.col("y")) ** 2).alias("d"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg(F.col("x") ** 2).alias("xx"), F.avg(F.col("y") ** 2).alias("yy"))
+    rows = df.select(*by, level(a).alias("x"), level(b).alias("y"), _weight(weight).alias("_w"))
+    x, y = F.col("x"), F.col("y")
+    m = rows.groupBy(*by).agg(F.sum("_w").alias("n"), _mean((x - y) ** 2).alias("d"), _mean(x).alias("mx"), _mean(y).alias("my"), _mean(x**2).alias("xx"), _mean(y**2).alias("yy"))
     scale = float((len(levels) - 1) ** 2)
     expected = F.col("xx") + F.col("yy") - 2 * F.col("mx") * F.col("my")
     return m.select(*by, "n", F.when(expected / scale >= TINY, F.round(1 - F.col("d") / expected, 6)).alias("qwk"))
 
 
-def field_agreement(df: DataFrame) -> DataFrame:
-    """Per field over aligned ratings (field, status_l, status_r, value_l, value_r): status kappa over all rows, value kappa over rows that both call explicit."""
-    status = cohen_kappa(df, "status_l", "status_r", "field").select("field", F.col("n").alias("status_n"), F.col("observed").alias("status_agreement"), F.col("kappa").alias("status_kappa"))
-    both = df.where("status_l = 'explicit' and status_r = 'explicit'")
-    value = cohen_kappa(both, "value_l", "value_r", "field").select("field", F.col("n").alias("value_n"), F.col("observed").alias("value_agreement"), F.col("kappa").alias("value_kappa"))
-    return status.join(value, "field", "left").withColumn("value_n", F.coalesce("value_n", F.lit(0)))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two sets as arrays; two empty sets overlap fully."""
     union = F.size(F.array_union(a, b))

@@ -104,22 +104,6 @@ def assembled(labels: DataFrame, text_col: str, confident: float = 0.8, silent:
     return out.withColumns({"abstained_fields": F.array_compact(F.array(*held)), "overall_confidence": sum((F.col(f)["confidence"] for f in FIELDS), F.lit(0.0)) / len(FIELDS)})
 
 
-def long_labels(df: DataFrame, key: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """key, field, status, signature (the categorical values as JSON) from struct columns of one shape."""
-    def sig(f: str) -> Column:
-        c = F.col(f)
-        return F.to_json(F.array(c["status"], c["value"], c["device"], c["edge"], c["cloud"], c["metric"]))
-
-    return df.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f)["status"].alias("status"), sig(f).alias("signature")) for f in fields])))
-
-
-def fit_majority(labels: DataFrame) -> DataFrame:
-    """field, signature, confidence: the most frequent signature of each field in training labels (long form)."""
-    from quillon.operators.metrics import majority
-
-    return majority(labels, "signature", "field").select("field", F.col("label").alias("signature"), "confidence")
-
-
 @dataclass(frozen=True)
 class WordNgrams:
     """Terms of a text: character n-grams inside words (by white space, marks stay) padded with one space each side; a padded word of up to n characters gives itself once."""

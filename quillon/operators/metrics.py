@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 BINS = 10
 
 
-def label_counts(df: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:
-    """by..., label, tp, fp, fn over the union of true and predicted labels (null is a label)."""
+def label_counts(df: DataFrame, truth: str, predicted: str, *by: str, weight: str | None = None) -> DataFrame:
+    """by..., label, tp, fp, fn over the union of true and predicted labels (null is a label). weight: a column of counts, where a row stands for several equal ones."""
     t, p = (F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in (truth, predicted))
-    rows = df.select(*by, t.alias("_t"), p.alias("_p"))
-    one, no = F.lit(1), F.lit(0)
+    rows = df.select(*by, t.alias("_t"), p.alias("_p"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_w"))
+    one, no = F.col("_w"), F.lit(0).cast("long")
     same = F.col("_t") == F.col("_p")
     parts = F.when(same, F.array(F.struct(F.col("_t").alias("label"), one.alias("tp"), no.alias("fp"), no.alias("fn")))).otherwise(F.array(F.struct(F.col("_t").alias("label"), no.alias("tp"), no.alias("fp"), one.alias("fn")), F.struct(F.col("_p").alias("label"), no.alias("tp"), one.alias("fp"), no.alias("fn"))))
     return rows.select(*by, F.inline(parts)).groupBy(*by, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.contracts import ColumnContract, TableContract
 from quillon.functions import casting, identity, text
-from quillon.operators import agreement, audits, extract, lineage, metrics, profile, sim, splits
+from quillon.operators import agreement, audits, evaluation, extract, lineage, metrics, profile, sim, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -244,6 +244,119 @@ def grouped_profile(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("sum_qty"), r6(F.avg("l_extendedprice")).alias("avg_price"), F.count_distinct("l_suppkey").alias("n_suppliers"))
 
 
+# --- reports on annotations (B11, B16, D19-D35, K1) -----------------------------
+
+
+def annotations(spark, sf_dir, predicted: bool) -> DataFrame:
+    """An annotation of each order, made by rule: references, or predictions that differ in some fields."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("o"))
+    k0, none = F.col("o"), F.lit(None).cast("string")
+    out = {}
+    for i, f in enumerate(extract.FIELDS):
+        k = (k0 * (i + 3) + i) % 11
+        at = k0 + i
+        if predicted:
+            k = F.when((k0 + i) % 6 == 0, (k + 3) % 11).otherwise(k)
+            at = at + ((k0 * 7 + i) % 5 == 0).cast("int")
+        status = F.when(k < 7, "explicit").when(k < 9, "not_stated").otherwise("ambiguous")
+        explicit = status == "explicit"
+        values = evaluation.VALUES.get(f)
+        value = F.when(explicit, F.array(*map(F.lit, values))[(at % len(values)).cast("int")]) if values else none
+        targets = [none if values else F.when(~explicit, "unknown").when(F.floor(at / 2**j) % 2 == 0, "allowed").otherwise("forbidden") for j in range(3)]
+        number = F.when(explicit, (k0 + 1 + (F.lit(predicted) & (k0 % 10 == 0)).cast("int")).cast("double")) if f == "latency" else F.lit(None).cast("double")
+        metric = F.when(explicit & (k0 % 2 == 0), "F1") if f == "accuracy" else none
+        parts = [status.alias("status"), value.alias("value"), *[c.alias(t) for c, t in zip(targets, evaluation.TARGETS)], metric.alias("metric"), number.alias("number")]
+        if predicted:
+            silent = (status == "not_stated") | (F.lit(i == 0) & (k0 % 13 == 0))
+            evidence = F.when(silent, F.array().cast("array<string>")).otherwise(F.array(F.when((k0 + i) % 9 == 0, "missing").otherwise("order")))
+            parts += [evidence.alias("evidence"), (0.55 + 0.1 * (k % 4)).alias("confidence")]
+        out[f] = F.struct(*parts)
+    key = F.concat(F.lit("o-"), F.col("o").cast("string")).alias("task_id")
+    df = o.select(key, *[c.alias(f) for f, c in out.items()])
+    if predicted:
+        held = [F.when(F.col(f)["status"].isin(*evaluation.HELD), F.lit(f)) for f in extract.FIELDS]
+        df = df.withColumns({"abstained_fields": F.array_compact(F.array(*held)), "overall_confidence": F.lit(0.5), "shown": F.concat(F.lit("order "), F.col("task_id"))})
+    return df
+
+
+def _annotations_sql() -> str:
+    """fields of both sides in long form: o, f, st/pst, sig/psig (categorical), same, ev (snippets), hit (grounded), conf, val (the predicted label's status)."""
+    rows = ", ".join(f"({i}, '{f}', [{', '.join(repr(v) for v in evaluation.VALUES.get(f, ()))}]::VARCHAR[])" for i, f in enumerate(extract.FIELDS))
+    side = "CASE WHEN {k} < 7 THEN 'explicit' WHEN {k} < 9 THEN 'not_stated' ELSE 'ambiguous' END"
+    value = "CASE WHEN {s} <> 'explicit' THEN NULL WHEN f = 'execution_policy' THEN NULL ELSE vs[1 + {a} % len(vs)] END"
+    target = "CASE WHEN f <> 'execution_policy' THEN NULL WHEN {s} <> 'explicit' THEN 'unknown' WHEN ({a} // {b}) % 2 = 0 THEN 'allowed' ELSE 'forbidden' END"
+    targets = ", ".join(target.format(s=s, a=a, b=2**j) + f" AS {n}{'dec'[j]}" for s, a, n in (("st", "a", ""), ("pst", "pa", "p")) for j in range(3))
+    return f"""WITH fs(i, f, vs) AS (VALUES {rows}),
+n0 AS (SELECT o_orderkey::BIGINT AS o, i, f, vs, (o_orderkey::BIGINT * (i + 3) + i) % 11 AS k, o_orderkey::BIGINT + i AS a FROM orders, fs),
+n1 AS (SELECT *, CASE WHEN (o + i) % 6 = 0 THEN (k + 3) % 11 ELSE k END AS pk, a + ((o * 7 + i) % 5 = 0)::INT AS pa FROM n0),
+n2 AS (SELECT *, {side.format(k='k')} AS st, {side.format(k='pk')} AS pst FROM n1),
+n3 AS (SELECT *, {value.format(s='st', a='a')} AS v, {value.format(s='pst', a='pa')} AS pv, {targets}, CASE WHEN f = 'accuracy' AND o % 2 = 0 THEN 'F1' END AS m,
+  CASE WHEN f = 'latency' AND st = 'explicit' THEN o + 1 END AS nr, CASE WHEN f = 'latency' AND pst = 'explicit' THEN o + 1 + (o % 10 = 0)::INT END AS pnr FROM n2),
+n4 AS (SELECT *, concat_ws('|', st, v, d, e, c, CASE WHEN st = 'explicit' THEN m END) AS sig, concat_ws('|', pst, pv, pd, pe, pc, CASE WHEN pst = 'explicit' THEN m END) AS psig FROM n3),
+n AS (SELECT *, sig = psig AND nr IS NOT DISTINCT FROM pnr AS same, 0.55 + 0.1 * (pk % 4) AS conf,
+  CASE WHEN pst = 'not_stated' OR (i = 0 AND o % 13 = 0) THEN 0 ELSE 1 END AS ev, (o + i) % 9 <> 0 AS found, st <> 'explicit' AS held, pst <> 'explicit' AS pheld FROM n4),
+lab AS (SELECT f, s, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (SELECT f, sig AS s, (sig = psig)::INT AS tp, 0 AS fp, (sig <> psig)::INT AS fn FROM n UNION ALL SELECT f, psig, 0, (sig <> psig)::INT, 0 FROM n) GROUP BY ALL),
+ff AS (SELECT f, avg(2 * tp / (2 * tp + fp + fn)) AS macro, count_if(tp + fn > 0)::BIGINT AS classes FROM lab GROUP BY f)
+"""
+
+
+@query(_annotations_sql() + "SELECT n.f AS field, count(*)::BIGINT AS n, round(avg(same::INT), 6) AS exact_accuracy, round(any_value(macro), 6) AS macro_f1, any_value(classes) AS n_truth FROM n JOIN ff USING (f) GROUP BY n.f")
+def evaluation_fields(spark, sf_dir):
+    return evaluation.evaluate_fields(annotations(spark, sf_dir, False), annotations(spark, sf_dir, True), "task_id")
+
+
+def _scores_sql(truth: str, predicted: str, name: str, count: str, rows: str) -> str:
+    both, one, two = f"count_if({truth} AND {predicted})", f"count_if({truth})", f"count_if({predicted})"
+    return f"(SELECT {one}::BIGINT FROM {rows}) AS {name}_{count}, (SELECT round({both} / {two}, 6) FROM {rows}) AS {name}_precision, (SELECT round({both} / {one}, 6) FROM {rows}) AS {name}_recall, (SELECT round(2 * {both} / ({one} + {two}), 6) FROM {rows}) AS {name}_f1"
+
+
+def _critical_sql(f: str) -> str:
+    said = ", ".join(map(repr, evaluation.CRITICAL[f]))
+    return _scores_sql(f"coalesce(v IN ({said}), false)", f"coalesce(pv IN ({said}), false)", f, "critical", f"(SELECT * FROM n WHERE f = '{f}')")
+
+
+@query(_annotations_sql() + f"""SELECT (SELECT count(DISTINCT o)::BIGINT FROM n) AS n, (SELECT round(avg(ok::INT), 6) FROM (SELECT bool_and(ev = 1 OR pst = 'not_stated') AS ok FROM n GROUP BY o)) AS schema_validity,
+(SELECT round(avg(x::INT), 6) FROM (SELECT bool_and(same) AS x FROM n GROUP BY o)) AS exact_record, (SELECT round(sum(ev * found::INT) / sum(ev), 6) FROM n) AS grounding_rate,
+{_critical_sql('privacy')}, {_critical_sql('latency')}, (SELECT round(avg(same::INT), 6) FROM n) AS exact_field, (SELECT round(avg((held = pheld)::INT), 6) FROM n) AS abstention_accuracy,
+{_scores_sql('held', 'pheld', 'abstention', 'positives', 'n')}, (SELECT round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) FROM lab) AS micro_f1, (SELECT round(avg(macro), 6) FROM ff) AS macro_f1_across_fields,
+(SELECT round(avg((conf - same::INT) * (conf - same::INT)), 6) FROM n) AS brier, (SELECT round(sum(k * abs(g)) / sum(k), 6) FROM (SELECT count(*) AS k, avg(conf) - avg(same::INT) AS g FROM n GROUP BY pk % 4)) AS ece""")
+def evaluation_summary(spark, sf_dir):
+    """Each order's annotation against its prediction; the confidences 0.55, 0.65, 0.75 and 0.85 each have a bin of their own."""
+    return evaluation.evaluate(annotations(spark, sf_dir, False), annotations(spark, sf_dir, True), "task_id", "shown")
+
+
+def _ordinal_sql() -> str:
+    ranks = " ".join(f"WHEN '{f}' THEN list_position([{', '.join(map(repr, evaluation.VALUES[f]))}], {{v}})" for f in evaluation.ORDERED)
+    one = "CASE f " + ranks + " END"
+    return f"SELECT f, {one.format(v='v')}::DOUBLE AS x, {one.format(v='pv')}::DOUBLE AS y FROM n WHERE st = 'explicit' AND pst = 'explicit' AND f IN ({', '.join(map(repr, evaluation.ORDERED))})"
+
+
+@query(_annotations_sql() + f""", r AS (SELECT f, 'status' AS me, st AS x, pst AS y FROM n UNION ALL SELECT f, 'value', v, pv FROM n WHERE st = 'explicit' AND pst = 'explicit' AND f <> 'execution_policy'
+ UNION ALL SELECT f, 'device', d, pd FROM n WHERE f = 'execution_policy' UNION ALL SELECT f, 'edge', e, pe FROM n WHERE f = 'execution_policy' UNION ALL SELECT f, 'cloud', c, pc FROM n WHERE f = 'execution_policy'),
+t AS (SELECT f, me, count(*) AS k, round(avg((x = y)::INT), 6) AS ag FROM r GROUP BY ALL),
+ch AS (SELECT a.f, a.me, sum(a.k * b.k)::DOUBLE AS s FROM (SELECT f, me, x, count(*) AS k FROM r GROUP BY ALL) a JOIN (SELECT f, me, y, count(*) AS k FROM r GROUP BY ALL) b ON a.f = b.f AND a.me = b.me AND a.x = b.y GROUP BY ALL),
+o AS ({_ordinal_sql()}), q AS (SELECT f, round(1 - avg((x - y) * (x - y)) / (avg(x * x) + avg(y * y) - 2 * avg(x) * avg(y)), 6) AS qwk FROM o GROUP BY f),
+pol AS (SELECT (d = 'allowed' AND pd = 'allowed')::INT + (e = 'allowed' AND pe = 'allowed')::INT + (c = 'allowed' AND pc = 'allowed')::INT AS x, (d = 'allowed' OR pd = 'allowed')::INT + (e = 'allowed' OR pe = 'allowed')::INT + (c = 'allowed' OR pc = 'allowed')::INT AS y FROM n WHERE f = 'execution_policy')
+SELECT f AS field, 'exact' AS measure, count(*)::BIGINT AS n, round(avg(same::INT), 6) AS agreement, NULL::DOUBLE AS kappa FROM n GROUP BY f
+UNION ALL SELECT 'all', 'exact_record', count(*), round(avg(x::INT), 6), NULL FROM (SELECT bool_and(same) AS x FROM n GROUP BY o)
+UNION ALL SELECT 'all', 'exact_field', count(*), round(avg(same::INT), 6), NULL FROM n
+UNION ALL SELECT t.f, t.me, t.k, t.ag, CASE WHEN q.f IS NOT NULL AND t.me = 'value' THEN qwk ELSE round((ag - s / (t.k * t.k)) / (1 - s / (t.k * t.k)), 6) END FROM t JOIN ch ON t.f = ch.f AND t.me = ch.me LEFT JOIN q ON q.f = t.f
+UNION ALL SELECT 'execution_policy', 'jaccard', count(*), round(avg(CASE WHEN y = 0 THEN 1.0 ELSE x / y END), 6), NULL FROM pol""")
+def agreement_report(spark, sf_dir):
+    return evaluation.pairwise_agreement(annotations(spark, sf_dir, False), annotations(spark, sf_dir, True), "task_id")
+
+
+@query(_annotations_sql() + """, c AS (SELECT f, sig, count(*) AS k FROM n WHERE o % 3 <> 0 GROUP BY ALL), tot AS (SELECT f, sum(k) AS t FROM c GROUP BY f), top AS (SELECT f, max(k) AS k FROM c GROUP BY f)
+SELECT f AS field, (SELECT count(*) FROM n x WHERE x.f = top.f AND x.o % 3 = 0)::BIGINT AS n, round(k / t, 6) AS confidence FROM top JOIN tot USING (f)""")
+def constant_profile(spark, sf_dir):
+    """The majority of each field over two thirds of the annotations, predicted for the rest."""
+    a = annotations(spark, sf_dir, False).withColumn("shown", F.concat(F.lit("order "), F.col("task_id")))
+    test = F.substring("task_id", 3, 20).cast("long") % 3 == 0
+    out = evaluation.predict_constant(a.where(test).select("task_id", "shown"), evaluation.fit_constant(a.where(~test), "task_id"), "shown")
+    told = out.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f)["confidence"].alias("confidence")) for f in extract.FIELDS])))
+    return told.groupBy("field").agg(F.count(F.lit(1)).alias("n"), r6(F.max("confidence")).alias("confidence"))
+
+
 # --- splits and scaling (E1-E5, F1-F2, D15-D18, K7, L9) ----------------------
 
 _CUTS = """
