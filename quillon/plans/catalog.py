@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.contracts import ColumnContract, TableContract
 from quillon.functions import casting, identity, text
-from quillon.operators import agreement, audits, evaluation, extract, lineage, metrics, profile, sim, splits
+from quillon.operators import agreement, audits, corpus, evaluation, extract, lineage, metrics, profile, sim, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -916,6 +916,94 @@ def release_gate(spark, sf_dir):
     return audits.release_gate(r)
 
 
+# --- operators on episodes, states and forms (B8, C5, D39, E7, F5, G6, H, L5, L8, L12-L15, L17) ---
+
+
+@query("SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_action FROM events")
+def previous_action(spark, sf_dir):
+    return corpus.previous_action(read(spark, sf_dir, "events"), "user_id", "event_id", "event_type").select("event_id", "event_type", "previous_action")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 >= event_id % 5 AND event_id % 7 >= event_id % 3 THEN 'a' WHEN event_id % 5 >= event_id % 3 THEN 'b' ELSE 'c' END AS best FROM events")
+def best_class(spark, sf_dir):
+    p = F.array(*[(F.col("event_id") % k).cast("double") / 10 for k in (7, 5, 3)])
+    return read(spark, sf_dir, "events").select("event_id", corpus.best_class(p, F.array(*map(F.lit, "abc"))).alias("best"))
+
+
+@query("SELECT 'family_in_two_parts' AS rule, o_custkey::VARCHAR AS key, count(DISTINCT o_orderkey % 3)::VARCHAR AS detail FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 3) > 1")
+def family_leaks(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumn("part", F.col("o_orderkey") % 3)
+    return corpus.family_leaks(o, "o_custkey", "part").select("rule", "key", "detail")
+
+
+@query("""WITH e AS (SELECT user_id, list(event_id % 4) AS d, count(*) AS n, list(DISTINCT event_id % 4) AS s FROM events GROUP BY user_id)
+SELECT 'device_id_not_unique' AS rule, user_id::VARCHAR AS key FROM e WHERE len(d) > len(s)
+UNION ALL SELECT 'link_id_not_unique', user_id::VARCHAR FROM e WHERE len(d) > len(s)
+UNION ALL SELECT 'server_without_link', user_id::VARCHAR FROM e WHERE NOT list_contains(s, 1) OR NOT list_contains(s, 2)""")
+def state_issues(spark, sf_dir):
+    """A state of each user: two servers, and a device and a link for each event."""
+    ids = lambda name: F.transform("m", lambda x: F.struct(x.alias(name)))
+    e = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("episode_id")).agg(F.collect_list(F.col("event_id") % 4).alias("m"))
+    servers = F.array(*[F.struct(F.lit(k).cast("long").alias("server_id")) for k in (1, 2)])
+    return audits.state_issues(e.select("episode_id", ids("device_id").alias("devices"), servers.alias("servers"), ids("target_id").alias("links"))).select("rule", "key")
+
+
+@query("""WITH e AS (SELECT user_id, count(*) AS n, count_if(event_id % 3 = 0) AS a, count(DISTINCT event_id % 3) FILTER (WHERE event_id % 3 <> 2) AS d, count_if(event_id % 3 <> 2) AS k FROM events GROUP BY user_id)
+SELECT 'tasks_and_events_differ' AS rule, user_id::VARCHAR AS key FROM e WHERE k <> n UNION ALL SELECT 'no_task', user_id::VARCHAR FROM e WHERE k = 0
+UNION ALL SELECT 'no_action', user_id::VARCHAR FROM e WHERE a = 0 UNION ALL SELECT 'action_label_not_unique', user_id::VARCHAR FROM e WHERE k <> d""")
+def scenario_issues(spark, sf_dir):
+    """A scenario of each user: events, of these tasks and their labels but where id % 3 = 2, actions where it is 0."""
+    m = F.col("event_id") % 3
+    e = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("episode_id")).agg(F.collect_list("event_id").alias("events"), F.collect_list(F.when(m != 2, m)).alias("tasks"), F.collect_list(F.when(m == 0, m)).alias("actions"))
+    return corpus.scenario_issues(e.withColumn("labels", F.col("tasks"))).select("rule", "key")
+
+
+@query("""WITH e AS (SELECT event_type AS p, string_agg((event_id % 50)::VARCHAR, ',' ORDER BY event_id % 50) AS o FROM (SELECT DISTINCT event_type, event_id % 50 AS event_id FROM events) GROUP BY event_type)
+SELECT 'same_order' AS rule, min(p) AS key, count(*)::VARCHAR AS detail FROM e GROUP BY o HAVING count(*) > 1""")
+def same_orders(spark, sf_dir):
+    """A packet for each event type: the last digits of its ids, in order."""
+    at = F.col("event_id") % 50
+    return audits.same_orders(read(spark, sf_dir, "events").select(F.col("event_type").alias("packet_id"), at.alias("presentation_order"), at.cast("string").alias("task_id")).distinct()).select("rule", "key", "detail")
+
+
+@query("""WITH e AS (SELECT event_id, concat_ws('.', event_id % 300, event_id % 7, event_id % 256, CASE WHEN event_id % 11 = 0 THEN '01' ELSE (event_id % 10)::VARCHAR END) AS ip FROM events)
+SELECT event_id, ip, event_id % 300 <= 255 AND event_id % 11 <> 0 AS is_ip FROM e""")
+def ip_validity(spark, sf_dir):
+    e = F.col("event_id")
+    ip = F.concat_ws(".", *[(e % k).cast("string") for k in (300, 7, 256)], F.when(e % 11 == 0, "01").otherwise((e % 10).cast("string")))
+    return read(spark, sf_dir, "events").select("event_id", ip.alias("ip")).withColumn("is_ip", casting.is_ip(F.col("ip")))
+
+
+@query("SELECT page_id, sha256(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS escaped_sha256 FROM pages")
+def html_escape(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.sha2(corpus.escaped(F.col("html")).cast("binary"), 256).alias("escaped_sha256"))
+
+
+@query("SELECT user_id AS episode_id, count(*)::BIGINT AS n_tasks, round(sum(-value), 6) AS total_reward, count_if(event_id % 4 = 0)::BIGINT AS n_success FROM events GROUP BY user_id")
+def episode_totals(spark, sf_dir):
+    o = read(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"), (-F.col("value")).alias("reward"), (F.col("event_id") % 4 == 0).alias("success"))
+    return sim.episode_totals(o).withColumn("total_reward", r6(F.col("total_reward")))
+
+
+@query(_annotations_sql() + """SELECT 'abstained_fields_differ' AS rule, 'o-' || o::VARCHAR AS key FROM n GROUP BY o HAVING bool_or(f = 'privacy' AND pst <> 'explicit')""")
+def abstention_audit(spark, sf_dir):
+    """Predictions that leave privacy out of their abstained fields."""
+    a = annotations(spark, sf_dir, True)
+    labels = a.select("task_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f)["status"].alias("status")) for f in extract.FIELDS])))
+    return audits.abstention_issues(a.select("task_id", F.array_remove("abstained_fields", "privacy").alias("abstained_fields")), labels).select("rule", "key")
+
+
+@query(r"""WITH d AS (SELECT doc_id::VARCHAR AS k, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM documents)
+SELECT 'field_not_covered' AS rule, 'nothing' AS key, '' AS detail
+UNION ALL SELECT 'text_repeated', sha256(t), count(*)::VARCHAR FROM d WHERE t IS NOT NULL GROUP BY t HAVING count(*) > 1
+UNION ALL SELECT 'text_in_corpus', k, '' FROM d WHERE t IN (SELECT trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[ \t\n\r\f\v]+', ' ', 'g')) FROM benchmark)""")
+def calibration_audit(spark, sf_dir):
+    """Documents as calibration items against the benchmark: repeated texts (by the hash of their key), texts of the corpus, a field without an item."""
+    items = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("text").alias("task_text"), F.lit("question").alias("field"))
+    found = audits.audit_calibration(items, read(spark, sf_dir, "benchmark").select(F.col("text").alias("task_text")), ["question", "nothing"])
+    return found.withColumn("key", F.when(F.col("rule") == "text_repeated", F.sha2(F.col("key").cast("binary"), 256)).otherwise(F.col("key")))
+
+
 # --- extensions (ours): streaming form of the queue ------------------------------
 
 
