@@ -20,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text, read off the last entry of its prefix counts. Null and empty texts have 0 tokens and 0 bytes; repeated rows give repeated rows; an empty table gives none."""
     from quillon.llm.token_counts import prefix_counts, total_tokens
 
     n = total_tokens(F.col("prefix_tokens"))
@@ -27,6 +28,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every text by the model of all labels. Null and empty texts get the base rate; equal texts equal results; labels of one class only (or none) give severity 0; no rows give none."""
     from quillon.llm.toxicity import fit, severity
 
     docs = table(spark, sf_dir, "documents")
@@ -34,6 +36,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the file of coded ids says of every document. A null or empty text has its end id alone; null doc_ids come first, rows of one doc_id in order of text, repeated rows all count; an empty table gives no rows."""
     from quillon.llm.binary_output import read_ids, write_ids
     from quillon.llm.workdir import table_path
 
@@ -42,12 +45,14 @@ def op8_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document. A null text has no words, a null source is a source of its own (last); rows of one doc_id are taken together; an empty table gives no rows."""
     from quillon.llm.mixing import mix_report
 
     return mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text. Null and empty texts have none (empty strings, counts 0); equal texts have equal base results and, as what is known is one for the corpus, equal spans; an empty table gives no rows."""
     from quillon.llm.pii import pii_report
 
     return pii_report(table(spark, sf_dir, "documents"))
@@ -83,30 +88,35 @@ FROM c
 """
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, key and decision of every document. Null and empty texts have no n-grams (weight of a neutral text); equal rows are kept or rejected together; without labels of both classes all are kept; no rows give none."""
     from quillon.llm.quality import classified
 
     return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of every text. Null and empty texts have no words, no labels (empty strings) and score 0; equal rows have equal results; an empty table gives no rows."""
     from quillon.llm.licenses import license_report
 
     return license_report(table(spark, sf_dir, "documents"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item it holds. Null and empty texts hold nothing; equal rows are one row; items without an id are found (item_id null); an empty table on either side gives no rows."""
     from quillon.llm.decontam import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k1", "k2")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document. Null and empty texts are one class; texts without words are alike only if equal; repeated rows share their class; a class is named by its smallest doc_id (null first); no rows give none."""
     from quillon.llm.neardup import classes
 
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edit. A null text is empty and has an empty fingerprint, like another empty one (1), unlike any other (0); rows of one doc_id are in order of text; a single row is its own next; no rows give none."""
     from quillon.llm.fingerprints import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
