@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, and DuckDB SQL where it can express them."""
+"""The thin queries of the numbered operators, and DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -122,6 +122,20 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_mixing, op4_license_scan, op5_decontamination, op6_near_duplicates, op7_toxicity, op8_binary_output, op9_fingerprints, op10_pii)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark. A null or empty text has no features and weight 0 and is never drawn; a null doc_id has the noise of the seed alone and loses ties; equal rows take ranks one after another; an empty benchmark leaves gains of raw counts; no rows give none."""
+    from quillon.llm.resampling import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers on every text. Null and empty texts and texts that either tokenizer doesn't give back have zeros and an empty digest; repeated rows each count as a document and have equal results; an empty table gives no rows."""
+    from quillon.llm.alignment import alignment
+
+    return alignment(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_mixing, op4_license_scan, op5_decontamination, op6_near_duplicates, op7_toxicity, op8_binary_output, op9_fingerprints, op10_pii, op11_importance_resampling, op12_tokenizer_alignment)}
 
 ORACLE: dict[str, str] = {"op3_mixing": OP3_SQL}
