@@ -136,6 +136,13 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_mixing, op4_license_scan, op5_decontamination, op6_near_duplicates, op7_toxicity, op8_binary_output, op9_fingerprints, op10_pii, op11_importance_resampling, op12_tokenizer_alignment)}
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. A null or empty html has an empty text; a page without a url belongs to no site, so nothing of it recurs; equal pages have equal texts; an empty table gives no rows."""
+    from quillon.llm.pages import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_mixing, op4_license_scan, op5_decontamination, op6_near_duplicates, op7_toxicity, op8_binary_output, op9_fingerprints, op10_pii, op11_importance_resampling, op12_tokenizer_alignment, op13_html_extraction)}
 
 ORACLE: dict[str, str] = {"op3_mixing": OP3_SQL}
