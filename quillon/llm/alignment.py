@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,19 @@ from quillon.llm.textops import by_chunk, lists
 from quillon.llm.workdir import Scratch, mapped, table_path
 
 #: Bytes of the texts of a block.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 _A = 32  # bits below the A id in a pair
 
 
+def _tables(spelt: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id: its bytes, how many, and its decimal digits."""
+    n = len(spelt)
+    tables = [np.empty(n, object), np.fromiter(map(len, spelt), np.int64, n), np.empty(n, object)]
+    tables[0][:] = spelt
+    tables[2][:] = [str(i) for i in range(n)]
+    return tuple(tables)
+
+
 class ByteLevel(Ids):
     """Ids of a byte-level tokenizer for a space and each text, special strings as plain text, and the bytes of each id."""
 
@@ -45,9 +55,10 @@ class ByteLevel(Ids):
         self.tokenizer.encode_special_tokens = True
         of = _byte_of_char()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.spelt = [b""] * (max(vocab.values(), default=-1) + 1)
+        spelt = [b""] * (max(vocab.values(), default=-1) + 1)
         for token, i in vocab.items():
-            self.spelt[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
+            spelt[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
+        self.spelt, self.width, self.named = _tables(spelt)
 
     def spaced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.of(pa.array([" " + t for t in texts], pa.string()))
@@ -61,12 +72,13 @@ class Pieces:
 
         self.model = SentencePieceProcessor(model_file=path)
         n = self.model.get_piece_size()
-        self.spelt = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.model.id_to_piece, range(n)))]
+        spelt = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.model.id_to_piece, range(n)))]
+        self.spelt, self.width, self.named = _tables(spelt)
 
     def spaced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.model.encode(texts, num_threads=1)
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.int64, int(counts.sum())), counts
+        return np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum())), counts
 
 
 @lru_cache(2)
@@ -94,8 +106,8 @@ class Aligned:
             counts = np.zeros(len(texts), np.int64)
             counts[full] = per
             sides.append((ids.astype(np.int64), counts))
-        raw = [b"".join([coder.spelt[i] for i in ids.tolist()]) for coder, (ids, _) in zip((a, b), sides)]
-        width = [np.fromiter(map(len, coder.spelt), np.int64, len(coder.spelt)) for coder in (a, b)]
+        raw = [b"".join(coder.spelt[ids].tolist()) for coder, (ids, _) in zip((a, b), sides)]
+        width = [coder.width for coder in (a, b)]
         at = [_ends(w[ids])[_ends(n)].tolist() for w, (ids, n) in zip(width, sides)]
         good = np.zeros(len(texts), bool)
         for i, t in enumerate(texts):
@@ -108,17 +120,23 @@ class Aligned:
         #: indices of the tokens of each link, and of the first tokens of each group
         self.link_a, self.link_b = owner_a[links], owner_b[links]
         self.group_a, self.group_b = owner_a[cuts], owner_b[cuts]
+        self.named = a.named, b.named
         self.doc_of_a = np.repeat(np.arange(len(texts)), self.n_a)
         self.n_links = np.bincount(self.doc_of_a[self.link_a], minlength=len(texts))
         self.n_groups = np.bincount(self.doc_of_a[self.group_a], minlength=len(texts))
 
     def groups(self) -> list[str]:
-        """The groups of each text as `a1,a2|b1;a3|b2,b3`."""
-        a, b = (list(map(str, x.tolist())) for x in (self.a, self.b))
-        s, t = [*self.group_a.tolist(), len(a)], [*self.group_b.tolist(), len(b)]
-        every = [f"{a[i] if j - i == 1 else ','.join(a[i:j])}|{b[k] if m - k == 1 else ','.join(b[k:m])}" for i, j, k, m in zip(s, s[1:], t, t[1:])]
-        ends = _ends(self.n_groups).tolist()
-        return [";".join(every[i:j]) for i, j in zip(ends, ends[1:])]
+        """The groups of each text as `a1,a2|b1;a3|b2,b3`: every id with the mark after it, A's before B's in each group."""
+        n = np.diff(np.concatenate((self.group_a, [len(self.a)]))), np.diff(np.concatenate((self.group_b, [len(self.b)])))
+        start = _ends(n[0] + n[1])[:-1]
+        parts = np.empty(2 * (len(self.a) + len(self.b)), object)
+        for names, ids, size, first, last in ((self.named[0], self.a, n[0], start, "|"), (self.named[1], self.b, n[1], start + n[0], ";")):
+            at = np.arange(len(ids)) + np.repeat(first - _ends(size)[:-1], size)
+            parts[2 * at] = names[ids]
+            parts[2 * at + 1] = ","
+            parts[2 * (first + size - 1) + 1] = last
+        ends = (2 * _ends(self.n_a + self.n_b)).tolist()
+        return ["".join(parts[i : max(j - 1, i)].tolist()) for i, j in zip(ends, ends[1:])]
 
 
 def _block(b: pa.RecordBatch, block: int, schema: T.StructType, coders: tuple[ByteLevel, Pieces]) -> pa.RecordBatch:
