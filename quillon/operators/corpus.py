@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import identity, text
+from quillon.operators import ordered
 from quillon.operators.audits import DOMAINS, PACKET_KEYS, issues, repeated, row_issues, together
 from quillon.operators.extract import FIELDS
 
@@ -120,10 +121,8 @@ def scenario_issues(scenarios: DataFrame) -> DataFrame:
 
 
 def previous_action(outcomes: DataFrame, episode: str, order: str, action: str) -> DataFrame:
-    """outcomes with previous_action: the action before it in its episode."""
-    from pyspark.sql import Window
-
-    return outcomes.withColumn("previous_action", F.lag(action).over(Window.partitionBy(episode).orderBy(order)))
+    """outcomes with previous_action: the action before it in its episode, whatever the episode's size."""
+    return ordered.previous(outcomes, episode, order, action, "previous_action")
 
 
 def best_class(probabilities: Column, labels: Column) -> Column:

@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import ordered
+
 MAX_EPISODE = 100_000
 LIGHT_M_PER_S = 299_792_458.0
 NOISE_DBM_PER_HZ = -174.0
@@ -225,17 +227,20 @@ def fcfs(jobs: DataFrame, queue: str, arrival: str, service: str, order: str) ->
 
 
 def timeline_issues(events: DataFrame, episode: str = "episode_id") -> DataFrame:
-    """events: episode, step, arrival_s, next_interarrival_s: arrivals that aren't the first plus the running gaps (1e-9 relative or absolute)."""
+    """events: episode, step, arrival_s, next_interarrival_s: arrivals that aren't the first plus the running gaps (1e-9 relative or absolute). An episode may hold any share of the rows."""
     from pyspark.sql import Window
 
     from quillon.operators.audits import issues
 
-    w = Window.partitionBy(episode).orderBy("step")
+    rows, carried = ordered.along_key(events, F.col(episode), F.col("step"), at=F.col("arrival_s"), gap=F.col("next_interarrival_s"))
+    w = Window.partitionBy("part", "o0").orderBy("o1")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    due = F.first("arrival_s").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("next_interarrival_s").over(before), F.lit(0.0))
-    e = events.withColumn("_due", due)
-    far = F.abs(F.col("arrival_s") - F.col("_due")) > F.greatest(1e-9 * F.greatest(F.abs("arrival_s"), F.abs("_due")), F.lit(1e-9))
-    return issues(e.where(far), "arrival_off_timeline", F.concat_ws(":", episode, "step"), F.col("arrival_s"))
+    e = ordered.with_carried(rows, carried)
+    begin = F.when(F.col("n_before").isNull(), F.first("at").over(w.rowsBetween(Window.unboundedPreceding, 0))).otherwise(F.col("first_at"))
+    gaps = F.coalesce("sum_gap", F.lit(0.0)) + F.coalesce(F.sum("gap").over(before), F.lit(0.0))
+    e = e.withColumn("due", begin + gaps)
+    far = F.abs(F.col("at") - F.col("due")) > F.greatest(1e-9 * F.greatest(F.abs("at"), F.abs("due")), F.lit(1e-9))
+    return issues(e.where(far), "arrival_off_timeline", F.concat_ws(":", "o0", "o1"), F.col("at"))
 
 
 def uniform(seed: int, stream: str, *keys: Column) -> Column:

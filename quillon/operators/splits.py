@@ -1,8 +1,8 @@
 """Chronological and group-holdout splits, audits of splits, quotas, train-only scaling.
 
-The order-dependent part runs on one row per time or group.  For a very large
-number of them `weighted_cuts` takes prefix sums in two levels (ranges, then
-within each range), so no single task holds all groups.
+The order-dependent part runs on one row per time or group, in ranges of the
+order (`ordered.running`), so no single task holds all groups.  Columns of the
+caller never meet names of ours: rows travel as a struct or keep their own table.
 """
 
 from __future__ import annotations
@@ -10,80 +10,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import ordered
+from quillon.sources.shared import written
+
 RATIO = (0.7, 0.15, 0.15)
+SPLITS = ("train", "validation", "test")
+
+
+def check_plan(strategy: str, group_field: str | None = None, seed: int | None = None, ratio: tuple[float, float, float] = RATIO) -> None:
+    """Raises unless a plan of splits can be made and repeated: a group split names its field and a seed, a chronological one neither."""
+    if strategy not in ("chronological", "group_holdout"):
+        raise ValueError(f"unknown strategy {strategy}")
+    if strategy == "group_holdout" and (not group_field or seed is None):
+        raise ValueError("a group split needs a field and a seed")
+    if strategy == "chronological" and (group_field or seed is not None):
+        raise ValueError("a chronological split has no group and no seed")
+    if isinstance(seed, int) and seed < 0:
+        raise ValueError("the seed must not be negative")
+    if len(ratio) != 3 or min(ratio) <= 0 or abs(sum(ratio) - 1) > 1e-9:
+        raise ValueError("three positive shares that sum to 1 are needed")
+
+
+def _labelled(groups: DataFrame, order: Column, n: Column, ratio: tuple[float, float, float]) -> DataFrame:
+    """row, idx, cum, split of the groups along the order."""
+    run = written(ordered.running(groups, order, n), "running")
+    train, both = ratio[0], ratio[0] + ratio[1]
+    first = run.where("idx < n_rows - 1").agg(F.min_by("idx", F.struct(F.abs(F.col("cum") - train * F.col("total")), "idx")).alias("cut1"))
+    second = run.crossJoin(first).where("idx > cut1 and idx < n_rows").agg(F.min_by("idx", F.struct(F.abs(F.col("cum") - both * F.col("total")), "idx")).alias("cut2"))
+    cuts = first.crossJoin(second)  # one row
+    split = F.when(F.col("cut2").isNull(), None).when(F.col("idx") <= F.col("cut1"), "train").when(F.col("idx") <= F.col("cut2"), "validation").otherwise("test")
+    return run.crossJoin(cuts).select("row", "idx", "cum", split.alias("split"))
 
 
-#: Rows of one range of the order, and the most ranges.
-RANGE_ROWS, RANGES = 250_000, 256
+def weighted_cuts(groups: DataFrame, order: str, ratio: tuple[float, float, float] = RATIO) -> DataFrame:
+    """groups with idx, cum, split: the cuts are those whose running share is nearest to the ratio (the earlier of two), each part keeping one group at least.
 
+    groups: order (distinct values), n.  Fewer than three groups can't be split: all get a null split.
+    """
+    return _labelled(groups, F.col(order), F.col("n"), ratio).select("row.*", "idx", "cum", "split")
 
-def _rank_number(df: DataFrame, order: str) -> Column:
-    """A number that rises with the order: of a text its first seven bytes, of anything else its value."""
-    c = F.col(order)
-    kind = df.schema[order].dataType.simpleString()
-    if kind in ("string", "binary"):
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
-    return (c.cast("timestamp") if kind.startswith(("timestamp", "date")) else c).cast("double")
 
+def _named(name: str) -> str:
+    if name.lower() in ("n", "idx", "cum", "split", "order_key"):
+        raise ValueError(f"a column {name} can't be told from the result's own; rename it")
+    return name
 
-def _ranges(groups: DataFrame, order: str) -> Column:
-    """The range of a row: how many bounds its number exceeds. The bounds (at most RANGES) are literals, so every use of the column means the same ranges."""
-    x = _rank_number(groups, order)
-    head = groups.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)], 20 * RANGES).alias("p")).first()
-    n = min(RANGES, -(-head.n // RANGE_ROWS))
-    bounds = sorted({head.p[i * RANGES // n - 1] for i in range(1, n)}) if n > 1 and head.p else []
-    if not bounds:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < x)), F.lit(0))
 
+def _groups(df: DataFrame, key: str, order: Column, ratio: tuple[float, float, float]) -> DataFrame:
+    """k (the values of key, without null), n, idx, cum, split; order is a function of k."""
+    groups = df.select(F.col(f"`{key}`").alias("k")).where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return _labelled(groups, order, F.col("n"), ratio).select("row.k", "row.n", "idx", "cum", "split")
 
-def _running(groups: DataFrame, order: str) -> DataFrame:
-    """groups (order, n) with idx (from 1), cum and total: ranges of the order, their sums, then running sums inside each."""
-    parts = groups.withColumn("_p", _ranges(groups, order))
-    sums = parts.groupBy("_p").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    whole = Window.partitionBy()
-    base = sums.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_k0"), F.sum("_n").over(whole).alias("total"), F.sum("_k").over(whole).alias("n_groups"))
-    w = Window.partitionBy("_p").orderBy(order)
-    out = parts.withColumns({"_i": F.row_number().over(w), "_c": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    return out.join(F.broadcast(base), "_p").select(*groups.columns, (F.col("_k0") + F.col("_i")).alias("idx"), (F.col("_n0") + F.col("_c")).alias("cum"), "total", "n_groups")
 
-
-def weighted_cuts(groups: DataFrame, order: str, ratio: tuple[float, float, float] = RATIO) -> DataFrame:
-    """groups with split: the cuts are those whose running share is nearest to the ratio (the earlier of two), each part keeping one group at least.
-
-    groups: order (distinct values), n.  Fewer than three groups can't be split: all get a null split.
-    """
-    run = _running(groups, order)
-    train, both = ratio[0], ratio[0] + ratio[1]
-    first = run.where("idx < n_groups - 1").agg(F.min_by("idx", F.struct(F.abs(F.col("cum") - train * F.col("total")), "idx")).alias("cut1"))
-    second = run.crossJoin(first).where("idx > cut1 and idx < n_groups").agg(F.min_by("idx", F.struct(F.abs(F.col("cum") - both * F.col("total")), "idx")).alias("cut2"))
-    cuts = first.crossJoin(second)  # one row
-    split = F.when(F.col("cut2").isNull(), None).when(F.col("idx") <= F.col("cut1"), "train").when(F.col("idx") <= F.col("cut2"), "validation").otherwise("test")
-    return run.crossJoin(cuts).withColumn("split", split).drop("cut1", "cut2", "total", "n_groups")
+def _assigned(df: DataFrame, key: str, groups: DataFrame) -> DataFrame:
+    """df with the split of each row's group as `split` (in place of a column of that name); a null key has none."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{key}`").alias("k"))
+    return rows.join(groups.select("k", "split"), "k", "left").select(*[F.col("row")[c].alias(c) for c in df.columns if c != "split"], "split")
 
 
 def chronological_groups(df: DataFrame, time: str, ratio: tuple[float, float, float] = RATIO) -> DataFrame:
-    """One row per distinct time with its split; equal times stay together."""
-    return weighted_cuts(df.groupBy(time).agg(F.count(F.lit(1)).alias("n")), time, ratio)
+    """One row per distinct time with its n, idx, cum and split; equal times stay together."""
+    return _groups(df, time, F.col("k"), ratio).withColumnRenamed("k", _named(time))
 
 
 def chronological_split(df: DataFrame, time: str, ratio: tuple[float, float, float] = RATIO) -> DataFrame:
-    return df.join(chronological_groups(df, time, ratio).select(time, "split"), time)
+    check_plan("chronological", ratio=ratio)
+    return _assigned(df, time, _groups(df, time, F.col("k"), ratio))
 
 
-def group_order(field: str, seed: int | str) -> Column:
+def group_order(field: str, seed: int | str, value: Column | None = None) -> Column:
     """The seeded order of groups: SHA-256 of seed, field and value."""
-    return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(field), F.col(field).cast("string")).cast("binary"), 256)
+    value = F.col(field) if value is None else value
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(field), value.cast("string")).cast("binary"), 256)
 
 
 def group_holdout_groups(df: DataFrame, field: str, seed: int | str, ratio: tuple[float, float, float] = RATIO) -> DataFrame:
-    groups = df.groupBy(field).agg(F.count(F.lit(1)).alias("n")).withColumn("order_key", group_order(field, seed))
-    return weighted_cuts(groups, "order_key", ratio)
+    order = group_order(field, seed, F.col("k"))
+    return _groups(df, field, order, ratio).withColumn("order_key", order).withColumnRenamed("k", _named(field))
 
 
 def group_holdout_split(df: DataFrame, field: str, seed: int | str, ratio: tuple[float, float, float] = RATIO) -> DataFrame:
-    return df.join(group_holdout_groups(df, field, seed, ratio).select(field, "split"), field)
+    check_plan("group_holdout", field, seed, ratio)
+    return _assigned(df, field, _groups(df, field, group_order(field, seed, F.col("k")), ratio))
 
 
 def leaks(df: DataFrame, key: str, split: str = "split") -> DataFrame:
@@ -96,23 +104,36 @@ def split_bounds(df: DataFrame, time: str, split: str = "split") -> DataFrame:
 
 
 def audit_split(df: DataFrame, sample_id: str, content_hash: str, group: str | None = None, time: str | None = None, split: str = "split") -> DataFrame:
-    """Issues: rule, n. All zero means the split is clean."""
-    rows = [
-        df.agg(F.lit("duplicate_sample_id").alias("rule"), (F.count(F.lit(1)) - F.count_distinct(sample_id)).alias("n")),
-        df.agg(F.lit("unassigned_sample").alias("rule"), F.count_if(F.col(split).isNull()).alias("n")),
-        df.agg(F.lit("missing_split").alias("rule"), (3 - F.count_distinct(F.when(F.col(split).isin("train", "validation", "test"), F.col(split)))).alias("n")),
-        leaks(df, content_hash, split).agg(F.lit("content_in_two_splits").alias("rule"), F.count(F.lit(1)).alias("n")),
-    ]
+    """Issues: rule, n. All zero means the split is clean.
+
+    One pass: each row is counted under its sample, its content and its group at
+    once, a row a key, and those are summed up.
+    """
+    s = F.col(f"`{split}`")
+    keys = {"sample": sample_id, "content": content_hash} | ({"group": group} if group else {})
+    told = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"`{c}`").cast("string").alias("key")) for kind, c in keys.items()])
+    rows = df.select(F.explode(told).alias("k"), s.alias("s"), *([F.col(f"`{time}`").alias("t")] if time else []))
+    sample = F.col("k.kind") == "sample"
+    flags = [F.max((F.col("s") == x).cast("int")).alias(f"in_{x}") for x in SPLITS] + [F.max((~F.col("s").isin(*SPLITS)).cast("int")).alias("in_other")]
+    bounds = [f(F.when(sample & (F.col("s") == x), F.col("t"))).alias(f"{n}_{x}") for x in SPLITS for n, f in (("lo", F.min), ("hi", F.max))] if time else []
+    per = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s").isNull()).alias("n_null"), *flags, *bounds)
+    several = sum((F.coalesce(F.col(f"in_{x}"), F.lit(0)) for x in (*SPLITS, "other")), F.lit(0)) > 1
+    of = lambda kind: F.col("k.kind") == kind
+    present = sum((F.coalesce(F.max(f"in_{x}"), F.lit(0)) for x in SPLITS), F.lit(0))
+    rules = {
+        "duplicate_sample_id": F.coalesce(F.sum(F.when(of("sample"), F.col("n") - F.col("k.key").isNotNull().cast("int"))), F.lit(0)),
+        "unassigned_sample": F.coalesce(F.sum(F.when(of("sample"), F.col("n_null"))), F.lit(0)),
+        "missing_split": 3 - present,
+        "content_in_two_splits": F.count_if(of("content") & several),
+    }
     if group:
-        rows.append(leaks(df, group, split).agg(F.lit("group_in_two_splits").alias("rule"), F.count(F.lit(1)).alias("n")))
+        rules["group_in_two_splits"] = F.count_if(of("group") & several)
     if time:
-        b = df.agg(*[f(F.when(F.col(split) == s, F.col(time))).alias(f"{n}_{s}") for s in ("train", "validation", "test") for n, f in (("lo", F.min), ("hi", F.max))])
-        bad = ~((F.col("hi_train") < F.col("lo_validation")) & (F.col("hi_validation") < F.col("lo_test")))
-        rows.append(b.select(F.lit("times_overlap").alias("rule"), F.coalesce(bad, F.lit(True)).cast("long").alias("n")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        edge = {f"{n}_{x}": f(f"{n}_{x}") for x in SPLITS for n, f in (("lo", F.min), ("hi", F.max))}
+        apart = (edge["hi_train"] < edge["lo_validation"]) & (edge["hi_validation"] < edge["lo_test"])
+        rules["times_overlap"] = F.coalesce(~apart, F.lit(True))
+    one = per.agg(*[n.cast("long").alias(rule) for rule, n in rules.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("n")) for rule in rules])))
 
 
 def assert_no_leakage(issues: DataFrame) -> None:
@@ -122,16 +143,18 @@ def assert_no_leakage(issues: DataFrame) -> None:
 
 
 def presentation_order(df: DataFrame, id_col: str, seed: int | str) -> DataFrame:
-    """presentation_order 1..n in the seeded hash order of the ids (ranks are taken in two levels)."""
-    keyed = df.withColumn("_o", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"), 256)).withColumn("n", F.lit(1))
-    return _running(keyed, "_o").withColumnRenamed("idx", "presentation_order").drop("_o", "n", "cum", "total", "n_groups")
+    """df with presentation_order 1..n (in place of a column of that name) in the seeded hash order of the ids."""
+    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(f"`{id_col}`").cast("string")).cast("binary"), 256)
+    run = ordered.running(df, order, F.lit(1))
+    return run.select(*[F.col("row")[c].alias(c) for c in df.columns if c != "presentation_order"], F.col("idx").alias("presentation_order"))
 
 
 def stratified_quota(df: DataFrame, stratum: str, id_col: str, quota: int, seed: int | str) -> DataFrame:
-    """The first `quota` rows of each stratum in the seeded order. A quota is the feature; strata are combined before they are ranked."""
-    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"), 256)
-    w = Window.partitionBy(stratum).orderBy("_o", id_col)
-    return df.withColumn("_o", order).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= quota).drop("_o", "_r")
+    """The first `quota` rows of each stratum in the seeded order, equal ids in no certain order. A quota is the feature; strata are combined before they are ranked."""
+    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(f"`{id_col}`").cast("string")).cast("binary"), 256)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{stratum}`").alias("s"), order.alias("o"), F.col(f"`{id_col}`").alias("i"))
+    w = Window.partitionBy("s").orderBy("o", "i")
+    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= quota).select("row.*")
 
 
 def coverage_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -1014,3 +1014,6 @@ def fcfs_stream_batches(spark, sf_dir):
     from quillon.plans.streams import run_available
 
     return run_available(spark, queue_jobs(spark, sf_dir), fcfs_stream)
+
+
+from quillon.plans import file_queries  # noqa: E402, F401 - registers its queries

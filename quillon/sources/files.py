@@ -1,4 +1,4 @@
-"""Strict readers of files: contract CSV, headerless logs, JSON lines; checksums of whole files."""
+"""Strict readers of files: contract CSV, headerless logs, JSON lines."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quillon.contracts import TRACE, TableContract
 from quillon.functions import casting, identity
+from quillon.sources import splits
 
 CITIES = ("beijing", "guangzhou", "shanghai")
 
@@ -106,38 +107,34 @@ def parse_log(lines: DataFrame, key: bytes, cities: tuple[str, ...] = CITIES, va
     return p.select("error", F.col(path).alias("source_path"), F.col(row).alias("source_row_number"), *[F.when(good, c).alias(n) for n, c in fields.items()])
 
 
-def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, source_path, source_row_number (from 1) of text files. A file is read by one task: its row numbers are part of identities."""
-    whole = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("source_path"))
-    rows = whole.select("source_path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("i", "value"))
-    return rows.select("value", "source_path", (F.col("i") + 1).alias("source_row_number"))
+def json_rows(spark: SparkSession, path: str | list[str], schema: T.StructType, split_bytes: int = splits.SPLIT_BYTES) -> DataFrame:
+    """source_path, source_row_number, issue, record of JSON lines: record under the schema, or what is wrong with the line.
 
-
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines under a schema. An empty file, a blank line, a line that isn't an object or doesn't fit raises with its number."""
-    lines = read_numbered_lines(spark, path)
-    bad = lines.where((F.trim("value") == "") | ~F.trim("value").rlike(r"^\{") | F.get_json_object("value", "$").isNull()).select("source_row_number").orderBy("source_row_number").limit(1).collect()
-    if bad:
-        raise SourceError(f"{path}, line {bad[0][0]}: not a JSON object")
-    if not lines.limit(1).count():
-        raise SourceError(f"{path} is empty")
-    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
-
-
-def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256 of files below 2 GB each (`sha256_file` reads larger ones in pieces)."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
-def sha256_file(path: str, piece: int = 1 << 20) -> str:
-    import hashlib
-
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while b := f.read(piece):
-            h.update(b)
-    return h.hexdigest()
-
-
-def checksum_matches(path: str, expected: str) -> bool:
-    return sha256_file(path) == expected.lower()
+    A record must be an object on one line with values of the schema's kinds;
+    each line is parsed once, by the task that reads it.
+    """
+    lines = splits.numbered_lines(spark, path, split_bytes)
+    bad = "_bad_" + "_".join(schema.fieldNames())[:20]
+    read = F.from_json("value", T.StructType([*schema.fields, T.StructField(bad, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    rows = lines.withColumn("r", read)
+    text = F.trim("value", F.lit(" \t"))
+    issue = F.when(text == "", "blank line").when(~text.startswith("{"), "not an object").when(F.col("r").isNull() | F.col("r")[bad].isNotNull(), "invalid JSON or another type")
+    record = F.struct(*[F.col("r")[f].alias(f) for f in schema.fieldNames()])
+    return rows.select("source_path", "source_row_number", issue.alias("issue"), F.when(issue.isNull(), record).alias("record"))
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, split_bytes: int = splits.SPLIT_BYTES) -> DataFrame:
+    """JSON lines under a schema, strictly: an empty file raises now, a line with an issue raises with its number when it is read."""
+    for name, length in splits.listed(spark, path):
+        if not length:
+            raise SourceError(f"{name} is empty")
+    rows = json_rows(spark, path, schema, split_bytes)
+    message = F.concat("source_path", F.lit(", line "), F.col("source_row_number").cast("string"), F.lit(": "), F.col("issue"))
+    good = F.when(F.col("issue").isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return rows.where(good).select("record.*")
+
+
+def checksum_matches(spark: SparkSession, path: str, expected: str) -> bool:
+    """Whether the one file at path has this SHA-256."""
+    found = splits.checksums(spark, path).select("sha256").collect()
+    return [r[0] for r in found] == [expected.lower()]
