@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import quantiles as selection
+
 BINS = 10
 
 
@@ -73,15 +78,20 @@ def grounding(df: DataFrame, evidence: str, text: str) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, column: str, *by: str) -> DataFrame:
-    """Exact mean, median, p95 (linear interpolation) and sum."""
-    c = F.col(column)
-    return df.groupBy(*by).agg(F.round(F.avg(c), 6).alias("mean_value"), F.round(F.median(c), 6).alias("median_value"), F.round(F.percentile(c, F.lit(0.95)), 6).alias("p95_value"), F.round(F.sum(c), 6).alias("total_value"))
-
-
-def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """share, value: exact quantiles by linear interpolation."""
-    q = df.agg(F.percentile(F.col(column), F.array(*map(F.lit, shares))).alias("q"))
-    return q.select(F.posexplode("q").alias("i", "v")).select(F.element_at(F.array(*map(F.lit, shares)), F.col("i") + 1).alias("share"), F.round("v", 6).alias("value"))
+    """Exact mean, median, p95 (linear interpolation) and sum of each group, of any size; nulls (and, for the quantiles, NaN) are left out."""
+    keys = [f"k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(column).alias("x"))
+    sums = rows.groupBy(*keys).agg(F.round(F.avg("x"), 6).alias("mean_value"), F.round(F.sum("x"), 6).alias("total_value"))
+    told = selection.quantiles(rows, "x", [0.5, 0.95], *keys)
+    at = {name: F.round(F.max(F.when(F.col("share") == q, F.col("value"))), 6).alias(name) for name, q in (("median_value", 0.5), ("p95_value", 0.95))}
+    told = told.groupBy(*keys).agg(*at.values()).withColumnsRenamed({k: f"{k}_" for k in keys})
+    both = sums.join(told, reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], F.lit(True)), "left")
+    return both.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], "mean_value", "median_value", "p95_value", "total_value")
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float], *by: str) -> DataFrame:
+    """by..., share, value: exact quantiles by linear interpolation."""
+    return selection.quantiles(df, column, shares, *by).select(*by, "share", F.round("value", 6).alias("value"))
 
 
 def majority(df: DataFrame, label: str, *by: str) -> DataFrame:
