@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.contracts import ColumnContract, TableContract
 from quillon.functions import casting, identity, text
-from quillon.operators import agreement, audits, corpus, evaluation, extract, lineage, metrics, profile, sim, splits
+from quillon.operators import agreement, audits, corpus, evaluation, extract, lineage, metrics, profile, search, sim, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -441,6 +441,30 @@ def stratified_quota(spark, sf_dir):
     return splits.stratified_quota(read(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 5, "q")
 
 
+SEARCH = search.Demands(
+    {segment: 8 for segment in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")}, {str(region): 8 for region in range(5)}, tuple(str(nation) for nation in range(25))
+)
+
+
+@query("""
+WITH a AS (SELECT t.i AS attempt, c_custkey AS id, c_mktsegment AS stratum, n_regionkey AS class, n_nationkey AS feature, sha256((7 + t.i)::VARCHAR || ':' || c_custkey::VARCHAR) AS o
+  FROM customer JOIN nation ON c_nationkey = n_nationkey, range(2000) t(i) WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY attempt, stratum ORDER BY o, id) AS place FROM a) WHERE place <= 8),
+s AS (SELECT attempt, abs(count_if(class = 0) - 8) + abs(count_if(class = 1) - 8) + abs(count_if(class = 2) - 8) + abs(count_if(class = 3) - 8) + abs(count_if(class = 4) - 8) AS imbalance,
+  25 - count(DISTINCT feature) AS missing, list(id ORDER BY id) AS selected FROM d GROUP BY attempt),
+b AS (SELECT *, imbalance + 100 * missing AS score FROM s)
+SELECT attempt::BIGINT AS attempt, score::BIGINT AS score, imbalance::BIGINT AS imbalance, missing::BIGINT AS missing, array_to_string(selected, ',') AS selected
+FROM b ORDER BY score, CASE WHEN score = 0 THEN attempt END, selected LIMIT 1
+""")
+def seeded_search(spark, sf_dir):
+    """The best of 2,000 draws of eight customers a segment: regions in equal parts, every nation among them."""
+    nation = read(spark, sf_dir, "nation")
+    c = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("stratum"), F.col("n_regionkey").cast("string").alias("class"), F.array(F.col("n_nationkey").cast("string")).alias("features"))
+    out = search.stratified_search(rows, SEARCH, 7)
+    return out.select(F.col("attempt").cast("long").alias("attempt"), "score", "imbalance", "missing", F.array_join(F.col("selected").cast("array<string>"), ",").alias("selected"))
+
+
 @query("""
 SELECT 'left_only' AS side, (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem))::BIGINT AS n
 UNION ALL SELECT 'right_only', (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders))::BIGINT
