@@ -24,6 +24,55 @@ def aligned(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFram
     return both
 
 
+def aligned_all(raters: dict[str, DataFrame], key: str | list[str]) -> DataFrame:
+    """key..., ratings (a struct with one slot a rater, null where the rater has no row or several) and issues (array of rater, rule, n).
+
+    Any number of raters meet in one shuffle: rows are tagged with their rater
+    and grouped by key. rule is missing or repeated; a key without issues is
+    rated once by every rater. Raters have the same columns.
+    """
+    keys = [key] if isinstance(key, str) else key
+    names = list(raters)
+    if len(names) < 2:
+        raise ValueError("two raters at least are compared")
+    own = [c for c in raters[names[0]].columns if c not in keys]
+    for name, df in raters.items():
+        if sorted(df.columns) != sorted([*keys, *own]):
+            raise ValueError(f"the columns of {name} differ: {df.columns}")
+    tagged = [df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.lit(r).alias("rater"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")) for r, df in enumerate(raters.values())]
+    every = tagged[0]
+    for t in tagged[1:]:
+        every = every.unionByName(t)
+    of = lambda r: F.when(F.col("rater") == r, F.col("row"))
+    per = every.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(*[F.count_if(F.col("rater") == r).alias(f"n{r}") for r in range(len(names))], *[F.first(of(r), ignorenulls=True).alias(f"row{r}") for r in range(len(names))])
+    slots = F.struct(*[F.when(F.col(f"n{r}") == 1, F.col(f"row{r}")).alias(name) for r, name in enumerate(names)])
+    wrong = [F.when(F.col(f"n{r}") != 1, F.struct(F.lit(name).alias("rater"), F.when(F.col(f"n{r}") == 0, "missing").otherwise("repeated").alias("rule"), F.col(f"n{r}").alias("n"))) for r, name in enumerate(names)]
+    return per.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], slots.alias("ratings"), F.array_compact(F.array(*wrong)).alias("issues"))
+
+
+def alignment_issues(told: DataFrame, key: str | list[str]) -> DataFrame:
+    """key..., rater, rule, n of the keys that not every rater has rated once. told: of `aligned_all`."""
+    keys = [key] if isinstance(key, str) else key
+    return told.select(*keys, F.inline("issues"))
+
+
+def fully_aligned(told: DataFrame, strict: bool = True) -> DataFrame:
+    """Keys that every rater has rated once, a column a rater. strict: raise if there are others, or none at all."""
+    if strict:
+        n = told.agg(F.count_if(F.size("issues") > 0).alias("bad"), F.count(F.lit(1)).alias("n")).first()
+        if n.bad or not n.n:
+            raise ValueError(f"{n.bad} of {n.n} keys aren't rated once by everyone")
+    keys = [c for c in told.columns if c not in ("ratings", "issues")]
+    return told.where(F.size("issues") == 0).select(*keys, "ratings.*")
+
+
+def diagnose_third(left: DataFrame, right: DataFrame, third: DataFrame, key: str, value: str, *by: str, strict: bool = True) -> DataFrame:
+    """`third_rater` over three submissions (key, value and the columns of by, which are the first rater's), aligned at once."""
+    rows = fully_aligned(aligned_all({"l": left, "r": right, "c": third}, key), strict)
+    flat = rows.select(*[F.col("l")[b].alias(b) for b in by], *[F.col(x)[value].alias(f"{x}_value") for x in "lrc"])
+    return third_rater(flat, "l_value", "r_value", "c_value", *by)
+
+
 def _labels(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import casting, identity, text
+from quillon.operators import schemas
 
 ISSUE = ("rule", "key", "detail")
 PACKET_KEYS = ("packet_version", "protocol_version", "annotator_id", "presentation_order", "task_id", "language", "task_text", "user_policy_text", "task_content_sha256")
@@ -52,8 +53,8 @@ def sensitive_flags(c: Column) -> list[Column]:
     return [F.coalesce(c.rlike(p), F.lit(False)).alias(f"has_{name}") for name, p in text.SENSITIVE.items()]
 
 
-def audit_corpus(tasks: DataFrame, expected: int | None = None) -> DataFrame:
-    """tasks: task_id, task_text, user_policy_text, scenario_domain, semantic_phenomena (array)."""
+def audit_corpus(tasks: DataFrame, expected: int | None = None, schema: dict | None = None, record: str = "record") -> DataFrame:
+    """tasks: task_id, task_text, user_policy_text, scenario_domain, semantic_phenomena (array); with a JSON Schema also record, the JSON text of the task."""
     both = F.concat("task_text", F.lit("\n"), F.coalesce("user_policy_text", F.lit("")))
     t = tasks.withColumn("_both", both)
     parts = [
@@ -64,6 +65,8 @@ def audit_corpus(tasks: DataFrame, expected: int | None = None) -> DataFrame:
     if expected is not None:
         n = t.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != expected)
         parts.append(issues(n, "unexpected_count", F.lit(expected), F.col("n")))
+    if schema is not None:
+        parts.append(issues(schemas.schema_issues(tasks, "task_id", record, schema), "task_schema", F.col("key"), F.concat_ws(" ", "path", "rule")))
     spark = tasks.sparkSession
     need = spark.createDataFrame([(d,) for d in DOMAINS], "d string")
     have = t.groupBy(F.col("scenario_domain").alias("d")).agg(F.count(F.lit(1)).alias("n"))
@@ -236,6 +239,40 @@ def audit_benchmarks(benchmarks: DataFrame, sources: DataFrame) -> DataFrame:
     ])
 
 
+MANIFEST = (
+    "provenance_vocabulary array<string>, sources array<struct<id:string,version_kind:string,immutable_version:boolean,dataset_status:string,license:struct<verification_status:string>,"
+    "artifacts:array<struct<artifact_id:string,checksum:struct<verification:string>>>,columns:array<struct<name:string,provenance:string>>>>, benchmarks array<struct<id:string,kind:string,source_ids:array<string>,field_provenance:array<string>>>"
+)
+
+
+def manifest_issues(manifests: DataFrame, schema: dict) -> DataFrame:
+    """Issues of manifests given as JSON texts. manifests: name, text. Form comes first: only manifests that obey the schema are read for what they mean.
+
+    Ids are told by manifest, so several may be audited at once.
+    """
+    form = issues(schemas.schema_issues(manifests, "name", "text", schema), "manifest_schema", F.col("key"), F.concat_ws(" ", "path", "rule"))
+    m = manifests.where(schemas.valid_documents(manifests, "text", schema)).select("name", F.from_json("text", MANIFEST).alias("m"))
+    own = lambda c: F.concat_ws(":", "name", c)
+    s = m.select("name", F.explode("m.sources").alias("s"))
+    sources = s.select(
+        own("s.id").alias("id"), "s.version_kind", "s.immutable_version", "s.dataset_status", F.col("s.license.verification_status").alias("license_status"),
+        F.transform("s.artifacts", lambda a: a["checksum"]["verification"]).alias("checksums"), F.transform("s.artifacts", lambda a: a["artifact_id"]).alias("artifact_ids"),
+        F.transform("s.columns", lambda c: c["name"]).alias("column_names"), F.array_compact(F.transform("s.columns", lambda c: c["provenance"])).alias("provenance"),
+    )
+    b = m.select("name", F.explode("m.benchmarks").alias("b"))
+    benchmarks = b.select("name", own("b.id").alias("id"), "b.kind", F.transform("b.source_ids", lambda x: F.concat_ws(":", "name", x)).alias("source_ids"), "b.field_provenance")
+    frozen = F.array(*map(F.lit, sorted(PROVENANCE)))
+    vocabulary = m.where(~F.array_sort(F.array_distinct("m.provenance_vocabulary")).eqNullSafe(frozen))
+    kinds = m.select("name", F.array_sort(F.array_distinct(F.transform("m.benchmarks", lambda x: x["kind"]))).alias("k")).where(~F.col("k").eqNullSafe(F.array(F.lit("synthetic"), F.lit("trace_driven_hybrid"))))
+    return together([
+        form,
+        issues(vocabulary, "vocabulary_not_frozen", F.col("name")),
+        audit_sources(sources),
+        audit_benchmarks(benchmarks.drop("name"), sources).where("rule <> 'kinds_incomplete'"),
+        issues(kinds, "kinds_incomplete", F.col("name"), F.array_join("k", ",")),
+    ])
+
+
 def state_issues(states: DataFrame) -> DataFrame:
     """states: episode_id, devices, servers, links (arrays of structs with device_id, server_id, target_id)."""
     def twice(c: str, field: str) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import casting, text
+from quillon.operators import metrics
+from quillon.sources.shared import written
 
 FIELDS = ("domain", "latency", "privacy", "execution_policy", "reliability", "accuracy", "energy_priority", "divisibility")
 #: Vocabularies up to this size are broadcast.
@@ -79,9 +81,12 @@ def _label(status: str, values: dict, number: Column | None, computed: dict[str,
 def rule_labels(df: DataFrame, text_col: str = "task_text", policy_col: str | None = None) -> DataFrame:
     """df with a struct column per field of FIELDS: RULES over the folded text, numbers read from the text as it is, and the domain of most keywords."""
     shown = text.visible_text(F.col(text_col), F.col(policy_col)) if policy_col else F.col(text_col)
-    folded = text.folded(shown)
-    stated = {"latency_ms": text.stated_latency_ms(shown), "reliability": text.stated_reliability(shown), "accuracy": text.stated_accuracy(shown)}
-    computed = {"latency_class": casting.latency_class(stated["latency_ms"]), "reliability_tier": casting.reliability_tier(stated["reliability"]), "f1_metric": F.when(text.stated_f1(shown).isNotNull(), "F1")}
+    # folded and read once, as columns of their own: the rules name them dozens of times
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), shown.alias("shown"))
+    rows = rows.select("row", text.folded(F.col("shown")).alias("folded"), text.stated_latency_ms(F.col("shown")).alias("latency_ms"), text.stated_reliability(F.col("shown")).alias("reliability_"), text.stated_accuracy(F.col("shown")).alias("accuracy_"), text.stated_f1(F.col("shown")).alias("f1"))
+    folded = F.col("folded")
+    stated = {"latency_ms": F.col("latency_ms"), "reliability": F.col("reliability_"), "accuracy": F.col("accuracy_")}
+    computed = {"latency_class": casting.latency_class(stated["latency_ms"]), "reliability_tier": casting.reliability_tier(stated["reliability"]), "f1_metric": F.when(F.col("f1").isNotNull(), "F1")}
     out = {"domain": _label("explicit", {"value": "domain"}, None, {"domain": best_label(keyword_scores(folded, DOMAIN_KEYWORDS))})}
     for field in FIELDS[1:]:
         label = _label("not_stated", SILENT.get(field, {}), None, {})
@@ -92,7 +97,7 @@ def rule_labels(df: DataFrame, text_col: str = "task_text", policy_col: str | No
                 tests.append(reduce(or_, (folded.contains(x) for x in some)))
             label = F.when(reduce(and_, tests), _label(status, values, number, computed)).otherwise(label)
         out[field] = label
-    return df.withColumns(out)
+    return rows.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in out], *[c.alias(f) for f, c in out.items()])
 
 
 def assembled(labels: DataFrame, text_col: str, confident: float = 0.8, silent: float = 0.7) -> DataFrame:
@@ -206,6 +211,47 @@ def fit_text_classifier(train: DataFrame, key: str, text_col: str, label: str, m
     return lambda df: head(vectors(df)).drop("features")
 
 
+def fit_fields(train: DataFrame, key: str, text_col: str, fields: list[str], max_terms: int = 20_000, max_iter: int = 200):
+    """One balanced linear head a field over the same n-gram TF-IDF vectors; returns a function (df, truth) -> long predictions.
+
+    The training texts are vectorised once, written with their labels, and every
+    head is fitted on that table; a head leaves out rows whose label is null.
+    Applying vectorises once too: the heads follow one another on the row.
+    Predictions: key, field, label, confidence, and with truth=True the row's
+    own label as `truth`, as `field_scores` takes them.
+    """
+    names = {f: f"y{i}" for i, f in enumerate(fields)}
+    plain = lambda df, own: df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text_col}`").alias("text"), *([F.col(f"`{f}`").cast("string").alias(n) for f, n in names.items()] if own else []))
+    rows = plain(train, True)
+    vocabulary = written(fit_tfidf(rows, "key", word_ngrams(F.col("text")), 2, max_terms), "vocabulary")  # max_terms rows
+    size = max(vocabulary.count(), 1)
+
+    def vectors(df: DataFrame) -> DataFrame:
+        known = apply_tfidf(df, "key", word_ngrams(F.col("text")), vocabulary, max_terms)
+        none = F.array().cast(known.schema["cells"].dataType)
+        ids = df.select("key").distinct()
+        return df.join(tfidf_vectors(ids.join(known, "key", "left").select("key", F.coalesce("cells", none).alias("cells")), "key", size), "key").drop("text")
+
+    table = written(vectors(rows), "field-vectors")
+    heads = {f: fit_linear_head(table.where(F.col(n).isNotNull()), n, max_iter=max_iter) for f, n in names.items()}
+
+    def predict(df: DataFrame, truth: bool = False) -> DataFrame:
+        out = vectors(plain(df, truth))
+        for f, head in heads.items():
+            out = head(out).withColumnsRenamed({"prediction": f"p_{names[f]}", "confidence": f"c_{names[f]}"})
+        cells = [F.struct(F.lit(f).alias("field"), F.col(f"p_{n}").alias("label"), F.col(f"c_{n}").alias("confidence"), *([F.col(n).alias("truth")] if truth else [])) for f, n in names.items()]
+        return out.select(F.col("key").alias(key), F.inline(F.array(*cells)))
+
+    return predict
+
+
+def field_scores(predictions: DataFrame) -> DataFrame:
+    """field, n, exact_accuracy, macro_f1 of predictions with their truth; rows without truth aren't scored."""
+    rows = predictions.where("truth is not null")
+    exact = rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("truth") == F.col("label")).cast("double")), 6).alias("exact_accuracy"))
+    return exact.join(metrics.macro_f1(rows, "truth", "label", "field").drop("n_labels"), "field")
+
+
 def fit_linear_head(train: DataFrame, label: str, features: str = "features", c: float = 1.0, max_iter: int = 200):
     """Balanced multinomial logistic regression; returns a function df -> df with prediction and probability.
 
@@ -249,6 +295,56 @@ def embedding_features(df: DataFrame, embedding: str, size: int | None = None) -
     return df.withColumn("features", array_to_vector(checked.cast("array<double>")))
 
 
+def phrase_spans(df: DataFrame, text_col: str, phrases: list[str], name: str = "spans") -> DataFrame:
+    """df with every occurrence of every phrase, overlapping ones too, as (index of the phrase, start, end) in code points.
+
+    One pass of a multi-pattern automaton over each text, whatever the number of
+    phrases, which every task builds for itself: they are a vocabulary, not data.
+    A null text has no spans; repeated and empty phrases are refused.
+    """
+    import pyarrow as pa
+
+    if len(set(phrases)) != len(phrases) or not all(phrases):
+        raise ValueError("phrases must be different and not empty")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.StructType().add("phrase", "integer").add("start", "integer").add("end", "integer")))])
+
+    def run(batches):
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for i, p in enumerate(phrases):
+            found.add_word(p, (i, len(p)))
+        if phrases:
+            found.make_automaton()
+        kind = pa.list_(pa.struct([("phrase", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            spans = [[{"phrase": i, "start": at + 1 - n, "end": at + 1} for at, (i, n) in found.iter(t)] if t and phrases else [] for t in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def phrase_labels(df: DataFrame, key: str, text_col: str, patterns: list[tuple[str, str, str]]) -> DataFrame:
+    """key, field, label, status, evidence (array of phrase, start, end) of the fields that a text speaks of: weak labels, never references.
+
+    patterns: (phrase, field, label).  A field with one label is explicit, with
+    several ambiguous (label null).  All that concerns a text is on its row, so
+    nothing is shuffled.
+    """
+    rows = phrase_spans(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text_col}`").alias("text")), "text", [p for p, _, _ in patterns])
+    table = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(f).alias("field"), F.lit(v).alias("label")) for p, f, v in patterns])
+    told = F.transform("spans", lambda s: F.struct(F.get(table, s["phrase"]).alias("of"), s["start"].alias("start"), s["end"].alias("end")))
+    rows = rows.where(F.size("spans") > 0).select("key", told.alias("told"))
+    fields = F.array_sort(F.array_distinct(F.transform("told", lambda t: t["of"]["field"])))
+    per = rows.select("key", "told", F.explode(fields).alias("field"))
+    own = F.filter("told", lambda t: t["of"]["field"] == F.col("field"))
+    labels = F.array_distinct(F.transform(own, lambda t: t["of"]["label"]))
+    evidence = F.transform(own, lambda t: F.struct(t["of"]["phrase"].alias("phrase"), t["start"].alias("start"), t["end"].alias("end")))
+    status = F.when(F.size(labels) == 1, "explicit").otherwise("ambiguous")
+    return per.select(F.col("key").alias(key), "field", F.when(F.size(labels) == 1, labels[0]).alias("label"), status.alias("status"), evidence.alias("evidence"))
+
+
 def template_labels(df: DataFrame, template_id: str, table: DataFrame) -> DataFrame:
     """Weak labels by template id: a lookup in a table (template_id, label columns); an unknown template raises."""
     own = table.withColumnRenamed("template_id", template_id)

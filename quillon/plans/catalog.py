@@ -129,11 +129,21 @@ def three_valued_filter(spark, sf_dir):
 
 
 @query("""
-SELECT spelled, as_integer, as_float FROM (VALUES ('5', 5::BIGINT, 5::DOUBLE), (' 5 ', 5, 5), ('5.7', NULL, 5.7), ('1e3', NULL, 1000), ('1_000', NULL, NULL), ('0x1F', NULL, NULL), ('5d', NULL, NULL), ('', NULL, NULL), ('-7', -7, -7), ('+.5', NULL, 0.5), ('99999999999999999999', NULL, 1e20)) v(spelled, as_integer, as_float)
+WITH t AS (SELECT l_orderkey k, l_linenumber n FROM lineitem)
+SELECT k % 11 AS shape, count(*)::BIGINT AS n, sum(CASE k % 11 WHEN 0 THEN k WHEN 1 THEN k WHEN 8 THEN -k END)::BIGINT AS as_integer,
+  round(sum(CASE k % 11 WHEN 0 THEN k WHEN 1 THEN k WHEN 2 THEN k + n / 10.0 WHEN 3 THEN k * 1000 WHEN 8 THEN -k WHEN 9 THEN n / 10.0 WHEN 10 THEN 1e20 END), 3)::DOUBLE AS as_float FROM t GROUP BY k % 11
 """)
 def guarded_casts(spark, sf_dir):
-    df = spark.createDataFrame([(s,) for s in ("5", " 5 ", "5.7", "1e3", "1_000", "0x1F", "5d", "", "-7", "+.5", "99999999999999999999")], "spelled string")
-    return df.select("spelled", casting.guarded_cast(F.col("spelled"), "integer").alias("as_integer"), casting.guarded_cast(F.col("spelled"), "float").alias("as_float"))
+    """Numbers of line items spelled in eleven ways, some of which aren't numbers."""
+    k, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
+    spell = [k, F.concat(F.lit(" "), k, F.lit(" ")), F.concat(k, F.lit("."), n), F.concat(k, F.lit("e3")), F.concat(k, F.lit("_000")), F.concat(F.lit("0x"), k), F.concat(k, F.lit("d")), F.lit(""), F.concat(F.lit("-"), k), F.concat(F.lit("+."), n), F.lit("99999999999999999999")]
+    shape = F.col("l_orderkey") % 11
+    spelled = F.lit(None).cast("string")
+    for i, c in enumerate(spell):
+        spelled = F.when(shape == i, c).otherwise(spelled)
+    rows = read(spark, sf_dir, "lineitem").select(shape.alias("shape"), spelled.alias("s"))
+    rows = rows.select("shape", casting.guarded_cast(F.col("s"), "integer").alias("i"), casting.guarded_cast(F.col("s"), "float").alias("f"))
+    return rows.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("as_integer"), F.round(F.sum("f"), 3).alias("as_float"))
 
 
 def line_checks() -> list[profile.Check]:
@@ -609,6 +619,36 @@ def third_rater(spark, sf_dir):
     return agreement.third_rater(raters(spark, sf_dir), "a", "b", "c", "part")
 
 
+def submissions(spark, sf_dir) -> dict[str, DataFrame]:
+    """The three raters as submissions of their own: the second leaves out every 13th document, the third gives every 17th twice."""
+    r = raters(spark, sf_dir)
+    of = lambda c, rows: rows.select("doc_id", F.col(c).alias("value"), "part")
+    return {"first": of("a", r), "second": of("b", r.where("doc_id % 13 <> 0")), "third": of("c", r.unionByName(r.where("doc_id % 17 = 0")))}
+
+
+@query("SELECT doc_id, 'second' AS rater, 'missing' AS rule, 0::BIGINT AS n FROM labels WHERE doc_id % 13 = 0 UNION ALL SELECT doc_id, 'third', 'repeated', 2 FROM labels WHERE doc_id % 17 = 0")
+def alignment_issues(spark, sf_dir):
+    """What keeps three submissions from being compared: keys that one of them lacks or repeats."""
+    return agreement.alignment_issues(agreement.aligned_all(submissions(spark, sf_dir), "doc_id"), "doc_id")
+
+
+@query(f"""WITH {_RATERS} SELECT part, count(*)::BIGINT AS n, count_if(a = b)::BIGINT AS n_agree, count_if(a <> b)::BIGINT AS n_disagree, count_if(a = b AND c = a)::BIGINT AS third_with_both, count_if(a = b AND c <> a)::BIGINT AS third_against_both,
+  count_if(a <> b AND c = a)::BIGINT AS third_with_left, count_if(a <> b AND c = b)::BIGINT AS third_with_right, count_if(a <> b AND c <> a AND c <> b)::BIGINT AS third_with_neither FROM r WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0 GROUP BY part""")
+def third_rater_aligned(spark, sf_dir):
+    """The third rater's part in agreement, over the documents that all three submissions rate once."""
+    s = submissions(spark, sf_dir)
+    return agreement.diagnose_third(s["first"], s["second"], s["third"], "doc_id", "value", "part", strict=False)
+
+
+@query("SELECT o_orderkey % 5 AS form, count(*)::BIGINT AS n, count_if(CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN o_orderkey % 300 < 256 WHEN 2 THEN true ELSE false END)::BIGINT AS n_valid FROM orders GROUP BY 1")
+def ipv6_validity(spark, sf_dir):
+    """Addresses in five forms: compressed, with an IPv4 tail, full, compressed twice, too short."""
+    k = F.col("o_orderkey").cast("long")
+    h = F.hex(k % 65536)
+    address = F.when(k % 5 == 0, F.concat(F.lit("2001:db8::"), h)).when(k % 5 == 1, F.concat(F.lit("::ffff:1.2.3."), (k % 300).cast("string"))).when(k % 5 == 2, F.concat(F.lit("1:2:3:4:5:6:7:"), h)).when(k % 5 == 3, F.concat(F.lit("fe80::1::"), h)).otherwise(F.concat(F.lit("1:2:3:"), h))
+    return read(spark, sf_dir, "orders").groupBy((k % 5).alias("form")).agg(F.count(F.lit(1)).alias("n"), F.count_if(casting.is_ip(address)).alias("n_valid"))
+
+
 @query(f"""WITH {_RATERS} SELECT doc_id, a AS left_label, b AS right_label FROM r WHERE a <> b""")
 def disagreement_rows(spark, sf_dir):
     return agreement.disagreements(raters(spark, sf_dir), ["doc_id"], "a", "b").select("doc_id", F.col("ratings.left").alias("left_label"), F.col("ratings.right").alias("right_label"))
@@ -771,20 +811,56 @@ def embedding_probe(spark, sf_dir):
 
 
 @query("""
-SELECT 'healthcare' AS domain, 'explicit' AS latency_status, 'real_time' AS latency_class, 'sensitive' AS privacy, 'forbidden' AS cloud, 'high' AS reliability, 1 AS task_id
-UNION ALL SELECT 'other', 'not_stated', NULL, NULL, 'unknown', NULL, 2 UNION ALL SELECT 'agriculture', 'explicit', 'relaxed', 'public', 'allowed', 'mission_critical', 3
+WITH t AS (SELECT o_orderkey k, o_custkey c FROM orders)
+SELECT k AS task_id, CASE k % 4 WHEN 0 THEN 'healthcare' WHEN 1 THEN 'agriculture' WHEN 2 THEN 'transportation' ELSE 'other' END AS domain,
+  CASE WHEN k % 5 IN (1, 2) THEN 'explicit' WHEN k % 5 = 3 THEN 'ambiguous' ELSE 'not_stated' END AS latency_status,
+  CASE WHEN k % 5 = 1 THEN CASE WHEN c % 3000 < 50 THEN 'hard_real_time' WHEN c % 3000 <= 200 THEN 'real_time' WHEN c % 3000 <= 1000 THEN 'interactive' ELSE 'relaxed' END
+       WHEN k % 5 = 2 THEN CASE WHEN c % 3 = 0 THEN 'interactive' ELSE 'relaxed' END END AS latency_class,
+  CASE k % 3 WHEN 0 THEN 'sensitive' WHEN 1 THEN 'public' END AS privacy, CASE k % 6 WHEN 0 THEN 'forbidden' WHEN 1 THEN 'allowed' ELSE 'unknown' END AS cloud,
+  CASE WHEN k % 7 = 3 THEN CASE WHEN (90 + c % 10 + 0.5) / 100 >= 0.99 THEN 'high' ELSE 'standard' END END AS reliability
+FROM t
 """)
 def rule_extraction(spark, sf_dir):
-    """The ordered rules over three fixed sentences."""
-    rows = [
-        (1, "Hasta izleme sonucu 150 ms içinde gelmelidir. Kişisel veri içerir; cihaz veya yakın edge kullanılabilir, bulut kullanılamaz. Başarı %99,5 olmalıdır."),
-        (2, "Görev hakkında bilgi yok."),
-        (3, "Tarla ve sulama verisi kamuya açıktır, 4 saniye yeter; cihaz, yakın edge veya bulutta çalışabilir. Güvenilirlik %99,9."),
-    ]
-    out = extract.rule_labels(spark.createDataFrame(rows, "task_id int, task_text string"))
+    """The ordered rules over a text for each order, made of sentences that its keys choose and numbers that they state."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    number = lambda x: x.cast("long").cast("string")
+    subject = F.when(k % 4 == 0, "Hasta izleme sonucu").when(k % 4 == 1, "Tarla ve sulama verisi").when(k % 4 == 2, "Trafik sayımı").otherwise(F.lit("Görev"))
+    latency = F.when(k % 5 == 1, F.concat(number(c % 3000), F.lit(" ms içinde gelmelidir."))).when(k % 5 == 2, F.concat(number(1 + c % 3), F.lit(" saniye içinde gelmelidir."))).when(k % 5 == 3, F.lit("anıt, dört saniye içinde ya da sonra gelmelidir."))
+    privacy = F.when(k % 3 == 0, "Kişisel veri içerir.").when(k % 3 == 1, "Veri kamuya açıktır.")
+    policy = F.when(k % 6 == 0, "Cihaz veya yakın edge kullanılabilir, bulut kullanılamaz.").when(k % 6 == 1, "Cihaz, yakın edge veya bulutta çalışabilir.")
+    share = F.when(k % 7 == 3, F.concat(F.lit("Başarı %"), number(90 + c % 10), F.lit(",5 olmalıdır.")))
+    rows = read(spark, sf_dir, "orders").select(k.alias("task_id"), F.concat_ws(" ", subject, latency, privacy, policy, share).alias("task_text"))
+    out = extract.rule_labels(rows)
     return out.select("task_id", F.col("domain.value").alias("domain"), F.col("latency.status").alias("latency_status"), F.col("latency.value").alias("latency_class"), F.col("privacy.value").alias("privacy"), F.col("execution_policy.cloud").alias("cloud"), F.col("reliability.value").alias("reliability"))
 
 
+_PHRASES = [("the", "lang", "en"), ("he", "short", "he"), ("en", "short", "en"), (" und ", "lang", "de"), (" der ", "lang", "de"), (" que ", "lang", "es"), (" le ", "lang", "fr"), ("ee", "short", "ee"), ("license", "topic", "license"), ("token", "topic", "secret"), ("ü", "umlaut", "u")]
+
+
+@query(f"""
+WITH p(phrase, field, label) AS (VALUES {', '.join(str(p) for p in _PHRASES)}),
+h AS (SELECT doc_id, phrase, field, label, list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(phrase)) = phrase) AS hits FROM documents, p WHERE contains(text, phrase))
+SELECT doc_id, field, CASE WHEN count(DISTINCT label) = 1 THEN min(label) END AS label, CASE WHEN count(DISTINCT label) = 1 THEN 'explicit' ELSE 'ambiguous' END AS status,
+  sum(len(hits))::BIGINT AS n, min(list_min(hits) - 1)::BIGINT AS first_start, sum(list_sum(hits) - len(hits) + len(hits) * length(phrase))::BIGINT AS sum_end FROM h GROUP BY doc_id, field
+""")
+def weak_labels(spark, sf_dir):
+    """Every occurrence of a vocabulary of phrases in every document, and the weak labels they give."""
+    out = extract.phrase_labels(read(spark, sf_dir, "documents"), "doc_id", "text", _PHRASES)
+    ends = F.aggregate("evidence", F.lit(0).cast("long"), lambda a, e: a + e["end"])
+    return out.select("doc_id", "field", "label", "status", F.size("evidence").cast("long").alias("n"), F.array_min(F.transform("evidence", lambda e: e["start"])).cast("long").alias("first_start"), ends.alias("sum_end"))
+
+
+@query()
+def field_classifiers(spark, sf_dir):
+    """Eight fields of labelled documents: heads fitted on two thirds over one table of vectors, scored on the rest."""
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    made = {"long": F.col("n_chars") > 2000, "size": F.least(F.floor(F.log10(F.col("n_chars") + 1)), F.lit(4)), "digits": F.col("text").rlike("[0-9]"), "lines": F.col("text").contains("\n")}
+    rows = d.select("doc_id", "text", "quality", "toxic", "lang", "source", *[c.alias(n) for n, c in made.items()])
+    fields = ["quality", "toxic", "lang", "source", *made]
+    predict = extract.fit_fields(rows.where("doc_id % 3 <> 0"), "doc_id", "text", fields, max_terms=1_000, max_iter=20)
+    return extract.field_scores(predict(rows.where("doc_id % 3 = 0"), truth=True))
+
+
 # --- simulation (B18-B19, I1-I6, E8-E9) ----------------------------------------
 
 @query("""
