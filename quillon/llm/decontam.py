@@ -22,6 +22,9 @@ WINDOW = 8
 PLAIN = 4
 #: A document is contaminated by an item of which it holds this many tokens, or this share.
 COVERED, SHARE = 13, 0.6
+#: Plain tokens of an anchor, and what must hold where an item is laid over a document: matching plain tokens at least, their share of the item's, and the share of all its tokens.
+ANCHORS = (4, 3)
+PLAIN_FOUND, PLAIN_SHARE, LAID_SHARE = 3, 0.75, 0.8
 #: Windows of the benchmark, or keys of candidate documents, that are broadcast; beyond it joins are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -119,6 +122,72 @@ def _short_leaks(rows: DataFrame, short: DataFrame) -> DataFrame:
     return found.select("k1", "k2", "doc_id", "item_id", F.col("length").cast("long").alias("covered"), F.lit(1.0).alias("share"), F.col("slots").cast("long").alias("slots")).distinct()
 
 
+def _typed(token: Column) -> Column:
+    return F.when(_is_slot(token), F.substring(token, 1, 2)).otherwise(token)
+
+
+def _plain_places(t: Column) -> Column:
+    """Where the tokens are that aren't placeholders."""
+    every = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda i: ~_is_slot(F.get(t, i)))
+
+
+def _anchors(t: Column, p: Column, m: int) -> Column:
+    """array<struct<key, pos>> of the anchors of m plain tokens in t (p: their places); pos is the place of the first."""
+    last = F.size(p) - m
+    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    spanning = F.filter(starts, lambda k: F.get(p, k + m - 1) - F.get(p, k) >= m)
+
+    def key(k: Column) -> Column:
+        told = [F.get(t, F.get(p, k))]
+        for j in range(1, m):
+            told += [F.get(p, k + j) - F.get(p, k + j - 1), F.get(t, F.get(p, k + j))]
+        return F.struct(F.xxhash64(F.lit(m), *told).alias("key"), F.get(p, k).alias("pos"))
+
+    return F.transform(spanning, key)
+
+
+def _with_places(rows: DataFrame, *keep: str) -> DataFrame:
+    return _once(rows, "p", _plain_places(F.col("t")), *keep, "t")
+
+
+def item_anchors(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id, t, m, key, pos: anchors of the items with placeholders and three plain tokens or more; of an item with three plain tokens only those of three."""
+    rows = _with_places(_item_tokens(benchmark, id_col, text_col), "item_id").where(F.size("p").between(min(ANCHORS), F.size("t") - 1))
+    m = F.when(F.size("p") >= ANCHORS[0], ANCHORS[0]).otherwise(ANCHORS[1])
+    found = F.when(m == ANCHORS[0], _anchors(F.col("t"), F.col("p"), ANCHORS[0])).otherwise(_anchors(F.col("t"), F.col("p"), ANCHORS[1]))
+    return rows.select("item_id", "t", m.alias("m"), F.explode(found).alias("a")).select("item_id", "t", "m", "a.key", "a.pos")
+
+
+def _laid(item: Column, doc: Column, diagonal: Column) -> Column:
+    """array<struct<item, doc>>: each token of the item with the one that lies under it, which is null outside the document."""
+    under = F.transform(F.sequence(F.lit(0), F.size(item) - 1), lambda i: F.get(doc, i + diagonal))
+    return F.zip_with(item, under, lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
+
+
+def _anchored_leaks(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """leaks of re-parameterised items, whatever their length: slots must stand for one another one-to-one."""
+    few = anchors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sizes = [r["m"] for r in anchors.select("m").distinct().collect()]  # at most two
+    d = _with_places(_once(rows, "t", tokens(F.col("text")), "k1", "k2"), "k1", "k2")
+    keys = F.concat(*[_anchors(F.col("t"), F.col("p"), m) for m in sorted(sizes)])
+    hit = anchors.select("item_id", "key", F.col("pos").alias("ipos"))
+    found = d.select("k1", "k2", F.explode(keys).alias("a")).select("k1", "k2", "a.key", "a.pos").join(F.broadcast(hit) if few else hit, "key")
+    found = written(found.select("k1", "k2", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).distinct(), "decontam-anchored")
+    keys = written(found.select("k1", "k2").distinct(), "decontam-anchored-keys")
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    again = _once(rows.join(F.broadcast(keys) if small else keys, ["k1", "k2"]).dropDuplicates(["k1", "k2"]), "t", tokens(F.col("text")), "k1", "k2", "doc_id").withColumnRenamed("t", "own")
+    items = anchors.select("item_id", "t").distinct()
+    laid = found.join(F.broadcast(items) if few else items, "item_id").join(again, ["k1", "k2"])
+    laid = _once(laid, "pairs", F.filter(_laid(F.col("t"), F.col("own"), F.col("diagonal")), lambda p: _typed(p["item"]) == _typed(p["doc"])), "k1", "k2", "doc_id", "item_id", "t")
+    slots = F.array_distinct(F.filter("pairs", lambda p: _is_slot(p["item"])))
+    laid = laid.select("k1", "k2", "doc_id", "item_id", F.size("t").alias("length"), F.size(F.filter("t", lambda x: ~_is_slot(x))).alias("n_plain"), F.size("pairs").alias("covered"), F.size(F.filter("pairs", lambda p: ~_is_slot(p["item"]))).alias("plain"), slots.alias("slots"))
+    side = lambda name: F.size(F.array_distinct(F.transform("slots", lambda p: p[name])))
+    one_to_one = (side("item") == F.size("slots")) & (side("doc") == F.size("slots"))
+    enough = (F.col("plain") >= PLAIN_FOUND) & (F.col("plain") >= PLAIN_SHARE * F.col("n_plain")) & (F.col("covered") >= LAID_SHARE * F.col("length"))
+    return laid.where(one_to_one & enough).select("k1", "k2", "doc_id", "item_id", F.col("covered").cast("long").alias("covered"), (F.col("covered") / F.col("length")).alias("share"), F.size("slots").cast("long").alias("slots"))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return d.select(F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"), "doc_id", "text")
@@ -164,6 +233,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     short = written(short_items(benchmark), "decontam-short")
     if short.limit(1).count():
         out = out.union(_short_leaks(rows, short))
+    anchors = written(item_anchors(benchmark), "decontam-anchors")
+    if anchors.limit(1).count():
+        out = out.union(_anchored_leaks(rows, anchors)).groupBy("k1", "k2", "doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("covered", "share", "slots")])
     return out.withColumn("item_id", F.col("item_id.id"))
 
 

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from quillon.llm import decontam, fingerprints, licenses, pii
 
 ODD_ROWS = [(1, None), (2, ""), (3, "x"), (4, "a b c"), (5, "é ü 中文 " * 500), (5, "é ü 中文 " * 500), (None, "no id"), (6, "Released under the MIT License. mit license\n" * 3)]
@@ -143,10 +145,71 @@ def test_decontamination_of_number_dense_and_short_items(spark):
     texts = ["we read: add 12, 15, 18, 21, 24, 27 and 30 together, and more", "a table 1 2 3 4 5 6 7 8 9 10 11 12", "so how many moons has Mars? two", "how many moons has Venus?", "is 19 really a prime number?", "is 17 really a prime number?", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = decontam.leaks(docs, bench).collect()
-    assert sorted((r.doc_id, r.item_id) for r in rows) == [(0, 1), (2, 2), (5, 3)]
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(0, 1), (2, 2), (4, 3), (5, 3)]
     assert {r.item_id: r.slots for r in rows}[3] == 1
 
 
+def test_decontamination_of_questions_with_other_numbers_and_names(spark):
+    """Short, number-dense and name-first questions, re-parameterised; and texts that only look like them."""
+    items = {1: "What is 12 plus 31 times 4?", 2: "Add 12, 15, 18, 21, 24, 27 and 30 together", 3: "Peter buys 3 pens for 7 dollars each.", 4: "It costs 5 dollars", 5: "no placeholders in this one at all"}
+    docs = {
+        1: ("Warm-up: What is 45 plus 8 times 77? Think.", {1}), 2: ("First add 1, 2, 3, 4, 5, 6 and 7 together and then rest", {2}), 3: ("They said John buys 9 pens for 2 dollars each. Fine", {3}), 4: ("Yesterday. John buys 9 pens for 2 euros each", {3}),
+        5: (items[1], {1}), 6: ("What is 5 plus 5 times 5?", set()), 7: ("It costs 7 euros", set()), 8: ("add 1, 2, 3, 4, 5, 6 or 7 together", set()), 9: ("What is the 5 plus of 6 in times 7", set()),
+        10: ("1 2 3 4 5 6 7 8 9 10 11 12 13 14", set()), 11: (None, set()), 12: ("Add 12, 15, 18, 21, 24, 27 and 31 together", {2}), 13: ("each 9 pens", set()), 14: ("It costs 5 dollars", {4}),
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    df = spark.createDataFrame([(i, t) for i, (t, _) in docs.items()] + [(1, docs[1][0])], "doc_id long, text string")
+    got = decontam.leaks(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, x) for i, (_, want) in docs.items() for x in want}
+    assert len(got) == len({(r.doc_id, r.item_id) for r in got})
+    one = {(r.doc_id, r.item_id): (r.covered, r.slots) for r in got}
+    assert one[1, 1] == (7, 3) and one[2, 2] == (10, 7) and one[3, 3] == (7, 3)
+    assert sorted(r.doc_id for r in decontam.clean(df, bench).collect()) == [6, 7, 8, 9, 10, 11, 13]
+
+
+def test_anchors_against_brute_force(spark):
+    """Random texts over few words, numbers and names: every item laid over every place of every text."""
+    import random
+
+    r = random.Random(12)
+
+    def some(n):
+        return " ".join(r.choice(["add", "the", "sum", "of", "and", "Anna", "Ben", "3", "5", "7.5", "12", "kg", "pens"]) for _ in range(n))
+
+    items = {i: some(r.randrange(3, 14)) for i in range(40)}
+    texts = {i: some(20) + " " + re.sub(r"[0-9.]+", lambda m: str(r.randrange(90)), r.choice(list(items.values()))) + " " + some(9) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    cut = lambda rows: {x.i: x.t for x in spark.createDataFrame(list(rows.items()), "i int, text string").select("i", decontam.tokens(F.col("text")).alias("t")).collect()}
+    slot = lambda t: t.startswith("\x01")
+    kind = lambda t: t[:2] if slot(t) else t
+    own, every = cut(texts), cut(items)
+
+    def anchored(t):
+        p = [i for i, x in enumerate(t) if not slot(x)]
+        m = 4 if len(p) >= 4 else 3
+        return {(tuple((t[x], x - p[k]) for x in p[k : k + m]), p[k]) for k in range(len(p) - m + 1) if p[k + m - 1] - p[k] >= m} if len(p) >= 3 and len(p) < len(t) else set()
+
+    def anchors_of(t, m):
+        p = [i for i, x in enumerate(t) if not slot(x)]
+        return {(tuple((t[x], x - p[k]) for x in p[k : k + m]), p[k]) for k in range(len(p) - m + 1)}
+
+    want = set()
+    for d, t in own.items():
+        at = {m: anchors_of(t, m) for m in (3, 4)}
+        for i, x in every.items():
+            keys = anchored(x)
+            for diagonal in {b - a for key, a in keys for k2, b in at[len(key)] if k2 == key} if keys else ():
+                pairs = [(a, t[k + diagonal]) for k, a in enumerate(x) if 0 <= k + diagonal < len(t) and kind(a) == kind(t[k + diagonal])]
+                slots = {p for p in pairs if slot(p[0])}
+                plain = sum(not slot(a) for a, _ in pairs)
+                if len({a for a, _ in slots}) == len({b for _, b in slots}) == len(slots) and plain >= 3 and plain >= 0.75 * sum(not slot(a) for a in x) and len(pairs) >= 0.8 * len(x):
+                    want.add((d, i))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    anchors = decontam.written(decontam.item_anchors(bench), "anchors")
+    got = {(r.doc_id, r.item_id.id) for r in decontam._anchored_leaks(decontam._keyed(df, "doc_id", "text"), anchors).collect()}
+    assert got == want and len(want) > 10
+
+
 def test_decontamination_against_brute_force(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
