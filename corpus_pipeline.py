@@ -48,7 +48,7 @@ STAGES = [
     ("binary output", output_stage),
 ]
 
-#: SQL can't express the stages (fitted models, sampled signatures, Huffman files); tests hold them against brute force.
+#: SQL can't express the stages (fitted models, sampled signatures, Huffman files). Tests hold each operator against a plain version or planted rows; of the stages as they follow one another they look at columns and row counts.
 ORACLE_SQL = None
 
 
