@@ -12,6 +12,8 @@ def tables(spark, path, docs):
     spark.createDataFrame(rows, DOCS).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, "What is the least number of coins that pay for twelve apples at the market in town")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    pages = [(i, f"http://h.example.org/{i}", t) for i, t, _ in docs]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     return str(path)
 
 
@@ -36,7 +38,7 @@ def test_the_pipeline_of_an_empty_table(spark, nothing):
     assert pipeline.run(spark, nothing).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op5_decontamination"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op5_decontamination", "op13_html_extraction"}))
 def test_every_row_has_its_result(spark, odd, name):
     out = queries.QUERIES[name](spark, odd).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in out) == [(False, 0), (True, 1), (True, 2), (True, 3), (True, 3), (True, 4)]
@@ -62,3 +64,10 @@ def test_what_null_texts_get(spark, odd):
     prints = of("op9_fingerprints")
     assert prints[1].n_chars == 0 and prints[2].fingerprint == prints[1].fingerprint == "" and prints[2].near_next == 1.0
     assert queries.QUERIES["op5_decontamination"](spark, odd).count() == 0
+    align, drawn = of("op12_tokenizer_alignment"), of("op11_importance_resampling")
+    for i in (1, 2):
+        assert (align[i].n_a, align[i].n_b, align[i].n_groups, align[i].n_links, align[i].groups_sha256) == (0, 0, 0, 0, "")
+        assert (drawn[i].n_features, drawn[i].weight, drawn[i].rank) == (0, 0, None)
+    assert align[3].n_a > 0 and drawn[3].n_features == 17
+    texts = {r.page_id: (r.text, r.n_chars) for r in queries.QUERIES["op13_html_extraction"](spark, odd).collect()}
+    assert texts[1] == texts[2] == ("", 0) and texts[3][0].startswith("write to anna") and texts[4][1] == 1
