@@ -28,9 +28,6 @@ from quillon.llm.workdir import mapped, written
 #: A pattern counts from this many distinct known instances and this confidence; an instance becomes known above ACCEPT.
 SUPPORT, CONFIDENT, ACCEPT = 5, 0.7, 0.7
 
-#: Characters of the longest secret.
-LONGEST = 256
-
 # The base patterns and their order.
 KINDS = ("email", "ip", "card", "phone")
 LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")  # an e-mail address: a local part, "@", a domain
@@ -127,14 +124,14 @@ def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
             i += 1
         if i < len(taken) and taken[i][0] < e:
             continue
-        found.append((s, e, "secret" if e - s <= LONGEST and _SECRET.fullmatch(text, s, e) else None))
+        found.append((s, e, "secret" if _SECRET.fullmatch(text, s, e) else None))
     out = []
     for s, e, kind in found:
         m = _BEFORE.search(text[max(0, s - 48) : s])
         pattern = _number(f"{m[1].lower()}\0{' '.join(m[2].split()) or ' '}") if m else None
         one = {"start": s, "end": e, "instance": _number(text[s:e]), "pattern": pattern, "seed": kind, "base": kind in KINDS}
         out.append(one)
-        if e - s <= LONGEST and _HEAD.fullmatch(text, s, e):
+        if _HEAD.fullmatch(text, s, e):
             out.append(one | {"pattern": _number(f"{text[s : s + 4]}\1{e - s}")})
     return out
 

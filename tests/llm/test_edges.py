@@ -25,7 +25,7 @@ def test_one_pass_patterns_equal_the_regular_expressions():
         assert pii._ips(t) == [("ip", m.start(), m.end()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
 
 
-@pytest.mark.parametrize("text", ["1" * 5_000_000 + " .", "a" * 5_000_000 + " @", "1." * 1_000_000, "a@" * 1_000_000, "+1" * 1_000_000])
+@pytest.mark.parametrize("text", ["1" * 5_000_000 + " .", "a" * 5_000_000 + " @", "1." * 1_000_000, "a@" * 1_000_000, "+1" * 1_000_000, "0f" * 2_500_000 + "g", "A1" * 2_500_000 + "b"])
 def test_long_texts_take_time_in_proportion(text):
     began = time.time()
     pii.occurrences(text, pii.base_spans(text))
@@ -38,6 +38,12 @@ def test_secrets_with_a_common_head_are_found(spark):
     assert all(out[i].n_spans == 1 and out[i].spans.startswith("secret:") for i in range(9)) and out[99].n_spans == 0
 
 
+@pytest.mark.parametrize("n", [16, 256, 257, 300, 100_000])
+def test_secrets_of_any_length_are_seeds(n):
+    text = "password=" + "0f" * (n // 2) + "a" * (n % 2) + " and more"
+    assert [(x["start"], x["end"], x["seed"]) for x in pii.occurrences(text, pii.base_spans(text))] == [(9, 9 + n, "secret")]
+
+
 def test_pieces_of_long_texts_have_the_same_tokens(monkeypatch):
     r = random.Random(3)
     text = "".join(r.choice(["It's", " a", "  b", "\n", " 12", "é", "x y", " ", ", "]) for _ in range(3000))

@@ -68,6 +68,6 @@ def test_what_null_texts_get(spark, odd):
     for i in (1, 2):
         assert (align[i].n_a, align[i].n_b, align[i].n_groups, align[i].n_links, align[i].groups_sha256) == (0, 0, 0, 0, "")
         assert (drawn[i].n_features, drawn[i].weight, drawn[i].rank) == (0, 0, None)
-    assert align[3].n_a > 0 and drawn[3].n_features == 17
+    assert align[3].n_a > 0 and drawn[3].n_features == 19
     texts = {r.page_id: (r.text, r.n_chars) for r in queries.QUERIES["op13_html_extraction"](spark, odd).collect()}
     assert texts[1] == texts[2] == ("", 0) and texts[3][0].startswith("write to anna") and texts[4][1] == 1
