@@ -82,25 +82,25 @@ def _profile_sql(contract: TableContract, key: str) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _profiled(spark: SparkSession, sf_dir: str, contract: TableContract, key: str) -> DataFrame:
-    out = profile.profile_long(as_file(spark, sf_dir, contract, key), contract)
+def profiled(rows: DataFrame, contract: TableContract) -> DataFrame:
+    out = profile.profile_long(rows, contract)
     number = lambda c: F.when(F.col("kind") == "float", F.round(F.col(c).cast("double"), 6).cast("string")).otherwise(F.col(c))
     return out.withColumns({c: number(c) for c in ("min_value", "max_value")})
 
 
 @query(_profile_sql(LINEITEM, "l_orderkey"))
 def profile_lineitem(spark, sf_dir):
-    return _profiled(spark, sf_dir, LINEITEM, "l_orderkey")
+    return profiled(as_file(spark, sf_dir, LINEITEM, "l_orderkey"), LINEITEM)
 
 
 @query(_profile_sql(ORDERS, "o_orderkey"))
 def profile_orders(spark, sf_dir):
-    return _profiled(spark, sf_dir, ORDERS, "o_orderkey")
+    return profiled(as_file(spark, sf_dir, ORDERS, "o_orderkey"), ORDERS)
 
 
 @query(_profile_sql(EVENTS, "event_id"))
 def profile_events(spark, sf_dir):
-    return _profiled(spark, sf_dir, EVENTS, "event_id")
+    return profiled(as_file(spark, sf_dir, EVENTS, "event_id"), EVENTS)
 
 
 #: A nullable numeric cell that is empty: not counted as invalid, yet dropped by the filter.

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.operators import schemas
-from quillon.plans.catalog import query, read
+from quillon.functions import casting
+from quillon.operators import audits, schemas, submissions
+from quillon.operators.extract import FIELDS
+from quillon.plans.catalog import ORACLE, ORDERS, as_file, profiled, query, read
 from quillon.sources import files, splits
 from quillon.sources.shared import folder
 
@@ -130,3 +132,59 @@ def schema_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(k % 61 == 0, '{"doc_id": ').otherwise(F.to_json(record))
     rows = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     return schemas.schema_issues(rows, "doc_id", "text", DOCUMENT).groupBy("key", "path", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(ORACLE["profile_orders"])
+def contract_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, some cells broken, as CSV files under their contract's header, read strictly and profiled."""
+    path = folder(spark, "orders-csv")
+    own = {"header": True, "quote": '"', "escape": '"', "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    as_file(spark, sf_dir, ORDERS, "o_orderkey").write.options(**own).csv(path)
+    return profiled(files.read_contract_csv(spark, path, ORDERS), ORDERS)
+
+
+#: What a submission's records must be.
+RECORD = {
+    "type": "object", "additionalProperties": False, "required": ["annotator_id", "task_id", "protocol_version", "task_content_sha256", "annotation"],
+    "properties": {"annotator_id": {"const": "A"}, "task_id": {"type": "string"}, "protocol_version": {"enum": ["1.1.0"]}, "task_content_sha256": {"type": "string", "pattern": "^[0-9a-f]{64}$"}, "annotation": {"type": "object"}},
+}
+
+
+def _record(fault: Column, number: Column, task: Column) -> Column:
+    """The JSON of one record; `fault` chooses what is wrong with it."""
+    none = {"status": F.lit("not_stated"), "evidence": F.array().cast("array<string>"), "confidence": F.lit(0.9)}
+    struct = lambda parts: F.named_struct(*[x for n, c in parts.items() for x in (F.lit(n), c)])  # noqa: E731 - a struct of aliased conditions loses their names here
+    label = lambda **own: struct(none | own)
+    null = F.lit(None).cast("string")
+    ms = number + F.when(fault == 9, 1).otherwise(0)
+    stated = {"status": F.lit("explicit"), "class": casting.latency_class(ms), "max_ms": ms.cast("double"), "evidence": F.array(F.concat(F.lit("Sonuç "), number.cast("string"), F.lit(" ms")))}
+    labels = {
+        "domain": label(status=F.lit("explicit"), value=F.lit("healthcare"), evidence=F.array(F.when(fault == 4, "nowhere").otherwise(F.lit("Hasta izleme")))), "latency": label(**stated), "privacy": label(data_class=null),
+        "execution_policy": label(**{t: F.lit("unknown") for t in ("device", "edge", "cloud")}), "reliability": label(tier=null, min_success_probability=null), "accuracy": label(tier=null, min_score=null, metric=null), "energy_priority": label(value=null), "divisibility": label(value=null),
+    }
+    held = [f for f in FIELDS if f not in ("domain", "latency")]
+    said = F.when(fault == 5, F.array(*[F.lit(f) for f in held if f != "privacy"])).otherwise(F.array(*map(F.lit, held)))
+    annotation = {"schema_version": F.lit("1.0.0"), "task_id": F.when(fault == 2, "another").otherwise(task), "language": F.when(fault == 3, "en").otherwise(F.lit("tr")), **labels, "abstained_fields": said, "overall_confidence": F.lit(0.9)}
+    sha = audits.task_sha256(F.col("task_id"), F.col("language"), F.col("task_text"), F.col("user_policy_text"))
+    outer = {"annotator_id": F.when(fault == 0, "B").otherwise(F.lit("A")), "task_id": F.when(fault == 10, F.concat(F.lit("x_"), task)).otherwise(task), "protocol_version": F.lit("1.1.0"), "task_content_sha256": F.when(fault == 1, F.lit("0" * 64)).otherwise(sha)}
+    text = F.to_json(struct(outer | {"annotation": struct(annotation)}), {"ignoreNullFields": "false"})
+    broken = F.to_json(struct(outer | {"annotation": F.lit(5)}), {"ignoreNullFields": "false"})
+    return F.when(fault == 6, broken).otherwise(text)
+
+
+@query("""
+WITH t AS (SELECT 'task_' || o_orderkey::VARCHAR AS k, o_orderkey % 12 AS f FROM orders)
+SELECT CASE f WHEN 0 THEN 'wrong_annotator' WHEN 1 THEN 'stale_hash' WHEN 2 THEN 'task_ids_disagree' WHEN 3 THEN 'language_disagrees' WHEN 4 THEN 'evidence_not_in_text' WHEN 5 THEN 'abstained_fields_differ'
+  WHEN 6 THEN 'record_schema' WHEN 7 THEN 'task_not_covered' WHEN 8 THEN 'task_repeated' WHEN 9 THEN 'latency_number_disagrees' ELSE 'unknown_task' END AS rule,
+  CASE f WHEN 4 THEN k || '.domain' WHEN 9 THEN k || '.latency' WHEN 10 THEN 'x_' || k ELSE k END AS key, 1::BIGINT AS n FROM t WHERE f <> 11
+UNION ALL SELECT 'record_schema', k, 1 FROM t WHERE f = 0 UNION ALL SELECT 'task_not_covered', k, 1 FROM t WHERE f = 10
+""")
+def submission_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A submission of a record for each order, eleven in twelve with a fault of their own, against the orders as tasks."""
+    k = F.col("o_orderkey").cast("long")
+    number = (k % 2000) + 1
+    tasks = read(spark, sf_dir, "orders").select(F.concat(F.lit("task_"), k).alias("task_id"), F.lit("tr").alias("language"), F.concat(F.lit("Hasta izleme. Sonuç "), number.cast("string"), F.lit(" ms içinde gelmelidir.")).alias("task_text"), F.lit(None).cast("string").alias("user_policy_text"), (k % 12).alias("fault"), number.alias("number"))
+    made = tasks.where("fault <> 7").select(F.explode(F.when(F.col("fault") == 8, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("number_"), _record(F.col("fault"), F.col("number"), F.col("task_id")).alias("text"))
+    records = made.select(F.col("number_").alias("number"), "text")
+    found = submissions.audit_records(records, tasks.drop("fault", "number"), "A", RECORD, protocol="1.1.0")
+    return found.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"))
