@@ -43,7 +43,8 @@ _MARK = re.compile(
     re.S,
 )
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
-_ATTR = re.compile(r"""(?<![^\s"'/])(?P<name>class|id|role|style|hidden|aria-hidden|itemprop|rel)(?:\s*=\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\s>]+)))?(?=[\s/>"']|\Z)""", re.I)
+_ATTR = re.compile(r"""(?P<name>[^\s"'>/=]++)(?:\s*+=\s*+(?:"(?P<a>[^"]*+)"|'(?P<b>[^']*+)'|(?P<c>[^\s>]*+)))?""")
+_TOLD = frozenset("class id role style hidden aria-hidden itemprop".split())
 _SPACES = re.compile(r"\s+")
 _PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
@@ -55,7 +56,7 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 #: Words of a class or id that mark what isn't the article (the first or last word of a name, or the whole).
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored sponsors promo promos promotion banner popup modal overlay "
-    "cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup signin login paywall "
+    "teaser teasers cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup signin login paywall "
     "nav navbar navigation menu menus breadcrumb breadcrumbs crumbs pagination pager toolbar sidebar sidebars sidenav topbar masthead "
     "header footer copyright share sharing social related recommended recommendations trending popular widget widgets toc skip "
     "comment comments commentlist disqus respond reply replies discussion form search searchbox disclaimer".split()
@@ -70,7 +71,13 @@ LEAST_LINKS = 3
 
 
 def names_of(attrs: str) -> dict[str, str]:
-    return {m["name"].lower(): unescape(next((x for x in (m["a"], m["b"], m["c"]) if x is not None), "")) for m in reversed(list(_ATTR.finditer(attrs)))}
+    """The attributes that say what an element is; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        name = m["name"].lower()
+        if name in _TOLD:
+            out.setdefault(name, unescape(next((x for x in (m["a"], m["b"], m["c"]) if x is not None), "")))
+    return out
 
 
 def _word_groups(told: dict[str, str]) -> list[list[str]]:
