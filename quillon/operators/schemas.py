@@ -36,26 +36,40 @@ class SchemaError(ValueError):
 
 
 class _Value:
-    """A place in a document: a VARIANT column and a path below it, so that nested places are read from the root in one step."""
+    """A place in a document: a VARIANT column and a path below it, so that nested places are read from the root in one step.
 
-    def __init__(self, root: Column, steps: tuple[str, ...] = (), at: Column | None = None):
-        self.root, self.steps = root, steps
+    parts: what has been read of places so far, as columns of their own by name;
+    None inside arrays, whose elements have no columns.
+    """
+
+    def __init__(self, root: Column, steps: tuple[str, ...] = (), at: Column | None = None, parts: dict[str, Column] | None = None):
+        self.root, self.steps, self.parts = root, steps, parts
         self.at = F.lit("") if at is None else at  # pointer to the root
-        if any("'" in s or "\\" in s for s in steps):
+        if any(c in s for s in steps for c in "'\\`"):
             raise SchemaError(f"a name with quotes or backslashes can't be read: {steps}")
         self.path = "$" + "".join(f"['{s}']" for s in steps)
 
     def child(self, name: str) -> _Value:
-        return _Value(self.root, (*self.steps, name), self.at)
+        return _Value(self.root, (*self.steps, name), self.at, self.parts)
+
+    def _read(self, what: str, made: Column) -> Column:
+        if self.parts is None:
+            return made
+        name = f"{what} of {self.path}"
+        self.parts.setdefault(name, made)
+        return F.col(f"`{name}`")
 
     def value(self) -> Column:
         return self.root if not self.steps else F.variant_get(self.root, self.path, "variant")
 
     def cast(self, kind: str) -> Column:
-        return F.try_variant_get(self.root, self.path, kind)
+        return self._read(kind, F.try_variant_get(self.root, self.path, kind))
 
     def kind(self) -> Column:
-        return F.schema_of_variant(self.value())
+        return self._read("kind", F.schema_of_variant(self.value()))
+
+    def absent(self) -> Column:
+        return self.kind().isNull()
 
     def pointer(self) -> Column:
         own = "".join("/" + s.replace("~", "~0").replace("/", "~1") for s in self.steps)
@@ -183,11 +197,11 @@ class _Compiler:
     def _objects(self, schema: dict, v: _Value, out: list[Column]) -> None:
         is_object, path = v.is_a("object"), v.pointer()
         for name in schema.get("required", []):
-            out.append(_one(is_object & v.child(name).value().isNull(), path, "required"))
+            out.append(_one(is_object & v.child(name).absent(), path, "required"))
         for name, sub in schema.get("properties", {}).items():
             parts = self.parts(sub, v.child(name))
             if parts:
-                out.append(F.when(is_object & v.child(name).value().isNotNull(), self.all(parts)))
+                out.append(F.when(is_object & ~v.child(name).absent(), self.all(parts)))
         more = schema.get("additionalProperties", True)
         if more is not True:
             known = list(schema.get("properties", {}))
@@ -224,15 +238,28 @@ def issues_of(document: Column, schema: dict) -> Column:
     return _Compiler(schema).issues(schema, _Value(document))
 
 
+def broken(rows: DataFrame, keep: list[str], document: str, schema: dict) -> DataFrame:
+    """keep..., issues (array<struct<path, rule>>) of the VARIANT column `document`, null for a null document.
+
+    Each place of the documents that the schema speaks of is read once into a
+    column of its own, whose names can't be a caller's; the demands are made of
+    these columns, which keeps the expression small however large the schema is.
+    """
+    parts: dict[str, Column] = {}
+    found = _Compiler(schema).issues(schema, _Value(F.col(document), parts=parts))
+    rows = rows.select(*keep, document, *[c.alias(n) for n, c in parts.items()])
+    return rows.select(*keep, F.when(F.col(document).isNotNull(), found).alias("issues"))
+
+
 def schema_issues(df: DataFrame, key: str, text: str, schema: dict) -> DataFrame:
     """key, path, rule: one row for each demand of the schema that the JSON text of a row breaks.
 
     A text that isn't JSON (or is null) has the one rule `json`.  Only rows with
     issues leave the scan, and no row meets another: there is no shuffle.
     """
-    rows = df.select(F.col(key).alias("key"), F.try_parse_json(F.col(text)).alias("document"))
-    broken = F.when(F.col("document").isNull(), F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule"))))
-    return rows.select("key", F.explode(F.coalesce(broken, issues_of(F.col("document"), schema))).alias("issue")).select("key", "issue.path", "issue.rule")
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.try_parse_json(F.col(f"`{text}`")).alias("document"))
+    unread = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))
+    return broken(rows, ["key"], "document", schema).select("key", F.inline(F.coalesce("issues", unread)))
 
 
 def valid_documents(df: DataFrame, text: str, schema: dict) -> Column:

@@ -102,7 +102,7 @@ def audit_records(records: DataFrame, tasks: DataFrame, annotator: str, wrapper:
     labelled = j.where(known & F.schema_of_variant("annotation").startswith("OBJECT"))
     labels = _labels(labelled)
     held = labelled.select("task_id", F.array_sort(F.array_compact(F.array(*[F.when(_get(F.col("annotation"), f"$.{f}.status").isin(*evaluation.HELD), F.lit(f)) for f in FIELDS]))).alias("held"), F.array_sort(F.coalesce(_get(F.col("annotation"), "$.abstained_fields", "array<string>"), F.array().cast("array<string>"))).alias("said"))
-    form = lambda rows, document, schema, rule: issues(rows.select("key", F.inline(schemas.issues_of(document, schema))), rule, F.col("key"), F.concat_ws(" ", "path", "rule"))
+    form = lambda rows, document, schema, rule: issues(schemas.broken(rows, ["key"], document, schema).select("key", F.inline("issues")), rule, F.col("key"), F.concat_ws(" ", "path", "rule"))
     rules = [
         ("unknown_task", told & ~known),
         ("wrong_annotator", known & ~_get(F.col("doc"), "$.annotator_id").eqNullSafe(F.lit(annotator))),
@@ -114,8 +114,8 @@ def audit_records(records: DataFrame, tasks: DataFrame, annotator: str, wrapper:
     ]
     return together([
         row_issues(j, "key", rules),
-        form(j.where("doc is not null"), F.col("doc"), wrapper, "record_schema"),
-        form(labelled, F.col("annotation"), semantic, "annotation_schema"),
+        form(j.where("doc is not null"), "doc", wrapper, "record_schema"),
+        form(labelled, "annotation", semantic, "annotation_schema"),
         audits.ungrounded_evidence(labels, "visible"),
         issues(held.where("held <> said"), "abstained_fields_differ", F.col("task_id")),
         audits.numeric_issues(labels.where(F.col("protocol").isin(*NUMERIC_PROTOCOLS))),

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_made: list[str] = []
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -23,7 +24,8 @@ def folder(spark: SparkSession, name: str) -> str:
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="quillon-sources-"))
         told = _local[0]
-    return f"{told.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{told.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -31,3 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete what this process has put into the shared folder so far, and return how many tables that were. For the caller to call once their results are read or written: a result not read yet may need them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _made:
+        p = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(p.getFileSystem(conf).delete(p, True))
+    return n

@@ -125,3 +125,15 @@ def test_rows_of_csv_members(spark, tmp_path):
         rows = zips.member_rows(chunks, zips.members(chunks), most).orderBy("member", "source_row_number").collect()
         assert [(r.source_row_number, r.fields) for r in rows if r.member == "one.csv"] == [(1, ["a", "b"]), (2, ["1\n2", "x"]), (3, ['q"', "é"]), (4, []), (5, ["last", ""])]
         assert len(rows) == 10
+
+
+def test_tables_can_be_dropped_once_results_are_read(spark, monkeypatch):
+    from pathlib import Path
+
+    from quillon.sources import shared
+
+    monkeypatch.setattr(shared, "_made", [])  # tables of other tests stay
+    table = shared.written(spark.range(5), "five")
+    path = Path(shared._made[0].removeprefix("file://"))
+    assert table.count() == 5 and path.exists()
+    assert shared.drop_written(spark) == 1 and not path.exists() and shared.drop_written(spark) == 0
