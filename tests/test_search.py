@@ -49,3 +49,18 @@ def test_what_cannot_be_met(candidates, spark):
     assert search.stratified_search(candidates.limit(0), demands, 1, 5).count() == 0
     with pytest.raises(ValueError):
         search.stratified_search(candidates, demands, 1, 0)
+
+
+def test_large_strata_are_not_sorted_whole(spark, monkeypatch):
+    rows = [(i, "abc"[i % 3], "xyzw"[(i * 7) % 4], [f"p{i % 11}"]) for i in range(3000)]
+    demands = search.Demands({"a": 4, "b": 3, "c": 3}, {"x": 3, "y": 3, "z": 2, "w": 2})
+    df = spark.createDataFrame(rows, "id int, stratum string, class string, features array<string>")
+    sorted_rows = []
+    first = search._first
+    monkeypatch.setattr(search, "_first", lambda near, d: sorted_rows.append(near.count()) or first(near, d))
+    got = search.stratified_search(df, demands, 5, 40, 40).collect()
+    assert [tuple(r) for r in got] == [plain(rows, demands, 5, 40)]
+    assert sum(sorted_rows) < 40 * 3000 / 10
+    # attempts whose near rows are too few draw from all
+    monkeypatch.setattr(search, "_limit", lambda quota, size: "004")
+    assert [tuple(r) for r in search.stratified_search(df, demands, 5, 40, 40).collect()] == [plain(rows, demands, 5, 40)]
