@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from quillon.functions import casting, text
 from quillon.operators import metrics
-from quillon.sources.shared import written
+from quillon.sources.shared import bounded_batches, written
 
 FIELDS = ("domain", "latency", "privacy", "execution_policy", "reliability", "accuracy", "energy_priority", "divisibility")
 #: Vocabularies up to this size are broadcast.
@@ -146,28 +146,160 @@ def _term_counts(df: DataFrame, key: str, terms: Column | WordNgrams) -> DataFra
     return df.repartition(n, key).select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _one_row_a_key(df: DataFrame, key: str, units: Column) -> DataFrame:
+    """key, units (array) with each key once: rows of the same key are joined, and nothing is shuffled but keys where there are none."""
+    rows = df.select(key, units.alias("_u"))
+    if rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        return rows
+    return rows.groupBy(key).agg(F.flatten(F.collect_list("_u")).alias("_u"))
+
+
+def _units(terms: Column | WordNgrams) -> Column:
+    """What a text is cut into once: its terms, or the words whose n-grams are its terms."""
+    return F.filter(F.split(text.unaccented(terms.text), r"\s+"), lambda w: w != "") if isinstance(terms, WordNgrams) else terms
+
+
+def _padded(word: Column) -> Column:
+    return F.concat(F.lit(" "), word, F.lit(" "))
+
+
+def _lengths(terms: Column | WordNgrams) -> tuple[int, int]:
+    return (terms.low, terms.high) if isinstance(terms, WordNgrams) else (0, 0)
+
+
+def _cut(low: int, high: int, vocabulary: dict[str, int]):
+    """A function from units to the ids of their known terms (n-grams of low to high; 0: the units), flat, with their number per unit; units that came before are looked up."""
+    seen: dict[str, np.ndarray] = {}
+    none = np.empty(0, np.int64)
+
+    def of(unit: str) -> np.ndarray:
+        if not low:
+            i = vocabulary.get(unit)
+            return none if i is None else np.array([i])
+        w = f" {unit} "
+        n = len(w)
+        grams = [w[i : i + k] for k in range(low, high + 1) for i in range(max(n - k + 1, 1) if k == low else n - k + 1)]
+        return np.array([vocabulary[g] for g in grams if g in vocabulary], np.int64)
+
+    def cut(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(seen) > 200_000:  # a bound of the memory, not of the vocabulary
+            seen.clear()
+        each = []
+        for u in units:
+            ids = seen.get(u)
+            if ids is None:
+                ids = seen[u] = of(u)
+            each.append(ids)
+        return np.concatenate([none, *each]), np.fromiter(map(len, each), np.int64, len(each))
+
+    return cut
+
+
+def _known_counts(column: pa.ListArray, cut, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a column of units, some rows at a time: how many rows, and by row and term id the row, the term id and its count."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = column.flatten().dictionary_encode()
+    ids, per = cut(codes.dictionary.to_pylist())
+    first = np.concatenate([[0], np.cumsum(per)])[:-1]
+    unit = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    step = max((1 << 20) // max(size, 1), 1)
+    for a in range(0, len(lengths), step):
+        b = min(a + step, len(lengths))
+        u = unit[ends[a] : ends[b]]
+        row = np.repeat(np.arange(b - a), lengths[a:b])
+        n = per[u]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[u], n)
+        counts = np.bincount(np.repeat(row, n) * size + ids[at], minlength=(b - a) * size)
+        cell = np.flatnonzero(counts)
+        yield b - a, cell // size, cell % size, counts[cell]
+
+
+def _fit_tfidf_of_all(df: DataFrame, key: str, terms: Column | WordNgrams, min_df: int, max_terms: int) -> DataFrame:
+    """The vocabulary from the counts of all terms by key: for any min_df and size."""
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    counts = _term_counts(df, key, terms).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    kept = counts.orderBy(F.col("total").desc(), "term").limit(max_terms).crossJoin(n)  # one row
+    ids = (F.row_number().over(Window.orderBy("term")) - 1).cast("int")  # at most max_terms rows
+    return kept.select("term", ids.alias("term_id"), (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
 def fit_tfidf(df: DataFrame, key: str, terms: Column | WordNgrams, min_df: int = 2, max_terms: int = 20_000) -> DataFrame:
     """The fitted vocabulary: term, term_id (from 0, by term), idf = ln((1 + n) / (1 + df)) + 1.
 
     Terms of fewer than min_df rows are left out; of the others the max_terms
     most frequent stay (max_terms is the model's size, a bounded table).
+
+    A term's total is told by the counts of the different words (or terms) of all
+    rows, and that two rows hold it by the smallest and largest key it has, so
+    only the terms that stay are looked up row by row, for their df.  A larger
+    min_df, or a vocabulary that isn't broadcast, needs the counts of all terms.
     """
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    counts = _term_counts(df, key, terms).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
-    kept = counts.orderBy(F.col("total").desc(), "term").limit(max_terms).crossJoin(n)  # one row
-    ids = (F.row_number().over(Window.orderBy("term")) - 1).cast("int")  # at most max_terms rows
-    return kept.select("term", ids.alias("term_id"), (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    if min_df > 2 or max_terms > BROADCAST_TERMS:
+        return _fit_tfidf_of_all(df, key, terms, min_df, max_terms)
+    spark = df.sparkSession
+    units = df.select(F.col(f"`{key}`").alias("_key"), F.explode(_units(terms)).alias("_u")).where("_u is not null")
+    words = units.groupBy("_u").agg(F.count(F.lit(1)).alias("_k"), F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.count_if(F.col("_key").isNull()).alias("_none"))
+    each = F.explode(terms.of(_padded(F.col("_u")))) if isinstance(terms, WordNgrams) else F.col("_u")
+    counts = words.select(each.alias("term"), "_k", "_a", "_b", "_none").groupBy("term").agg(F.sum("_k").alias("total"), F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.sum("_none").alias("_none"))
+    if min_df == 2:
+        counts = counts.where((F.col("_a") < F.col("_b")) | (F.col("_a").isNotNull() & (F.col("_none") > 0)))
+    kept = sorted(r.term for r in counts.orderBy(F.col("total").desc(), "term").limit(max_terms).select("term").collect())  # the model: max_terms terms
+    lengths, vocabulary, size = _lengths(terms), {t: i for i, t in enumerate(kept)}, max(len(kept), 1)
+    bounded_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, sums = _cut(*lengths, vocabulary), np.zeros(size, np.int64)
+        for b in batches:
+            for _, _, ids, _ in _known_counts(b.column(0), cut, size):
+                sums += np.bincount(ids, minlength=size)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some])], ["term_id", "df"])
+
+    rows = _one_row_a_key(df, key, _units(terms)).select("_u")
+    found = dict(rows.mapInArrow(run, "term_id int, df long").groupBy("term_id").agg(F.sum("df").alias("df")).collect())  # one row a kept term
+    n = df.count()
+    told = [(t, i, float(np.log((1.0 + n) / (1.0 + found[i])) + 1.0)) for i, t in enumerate(kept)]
+    return spark.createDataFrame(told, "term string, term_id int, idf double")
 
 
 def apply_tfidf(df: DataFrame, key: str, terms: Column | WordNgrams, vocabulary: DataFrame, max_terms: int = 20_000) -> DataFrame:
     """key, cells (array of term, term_id, weight by term_id): (1 + ln tf) * idf, each row of length 1. Rows without known terms are left out.
 
-    The vocabulary holds max_terms rows at most, and is broadcast if that is up to BROADCAST_TERMS.
+    The vocabulary holds max_terms rows at most, and is sent to the tasks, which
+    count its terms in Arrow batches, if that is up to BROADCAST_TERMS.
     """
-    own = F.broadcast(vocabulary) if max_terms <= BROADCAST_TERMS else vocabulary
-    w = _term_counts(df, key, terms).join(own, "term").select(key, F.struct("term_id", "term", ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")).alias("c"))
-    per = w.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("cells"), F.sqrt(F.sum(F.col("c.w") ** 2)).alias("norm"))
-    return per.select(key, F.transform("cells", lambda x: F.struct(x["term"].alias("term"), x["term_id"].alias("term_id"), (x["w"] / F.col("norm")).alias("weight"))).alias("cells"))
+    if max_terms > BROADCAST_TERMS:
+        w = _term_counts(df, key, terms).join(vocabulary, "term").select(key, F.struct("term_id", "term", ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")).alias("c"))
+        per = w.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("cells"), F.sqrt(F.sum(F.col("c.w") ** 2)).alias("norm"))
+        return per.select(key, F.transform("cells", lambda x: F.struct(x["term"].alias("term"), x["term_id"].alias("term_id"), (x["w"] / F.col("norm")).alias("weight"))).alias("cells"))
+    model = vocabulary.select("term", "term_id", "idf").orderBy("term_id").collect()  # max_terms rows
+    known, ids_of, idf = {r.term: i for i, r in enumerate(model)}, [r.term_id for r in model], [r.idf for r in model]
+    lengths, size = _lengths(terms), max(len(model), 1)
+    bounded_batches(df.sparkSession)
+    rows = _one_row_a_key(df, key, _units(terms))
+    cell = T.StructType().add("term", "string").add("term_id", "integer").add("weight", "double")
+    schema = T.StructType([rows.schema[key], T.StructField("cells", T.ArrayType(cell))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = _cut(*lengths, known)
+        names, numbers, factors = pa.array(list(known), pa.string()), pa.array(ids_of, pa.int32()), np.array(idf)
+        for b in batches:
+            at = 0
+            for n, row, ids, counts in _known_counts(b.column(1), cut, size):
+                keys, at = b.column(0).slice(at, n), at + n
+                if not len(ids):
+                    continue
+                w = (1.0 + np.log(counts)) * factors[ids]
+                per = np.bincount(row, minlength=n)
+                w /= np.sqrt(np.bincount(row, weights=w * w, minlength=n))[row]
+                some = np.flatnonzero(per)
+                of = pa.array(ids)
+                cells = pa.StructArray.from_arrays([names.take(of), numbers.take(of), pa.array(w)], ["term", "term_id", "weight"])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(per[some])]), pa.int32())
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(some)), pa.ListArray.from_arrays(offsets, cells)], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def tfidf(df: DataFrame, key: str, terms: Column | WordNgrams, min_df: int = 2, max_terms: int = 20_000) -> DataFrame:

@@ -6,6 +6,7 @@ local (tests on one machine) a folder under the temporary directory is used.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 _local: list[str] = []
 _made: list[str] = []
 
+#: Arrow batches between the JVM and Python hold at most so much (one row may hold more); Spark's default of 10,000 rows lets a batch grow with the texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Python get its rows in small batches. The session keeps the setting: it is read when a plan runs."""
+    for key, most in BATCH.items():
+        now = re.fullmatch(r"(\d+)b?", str(spark.conf.get(key)).lower())
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""

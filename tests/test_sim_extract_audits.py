@@ -177,3 +177,24 @@ def test_text_classifier_learns_marked_texts(spark):
     predict = extract.fit_text_classifier(df.where("id < 40"), "id", "t", "y", max_iter=20)
     out = predict(df.where("id >= 40").unionByName(spark.createDataFrame([(99, "", 0)], df.schema))).collect()
     assert len(out) == 21 and all(str(r.y) == r.prediction for r in out if r.id != 99)
+
+
+def test_vocabulary_from_words_equals_that_from_all_terms(spark):
+    rows = [(i % 37 if i % 9 else None, f"Straße ÉCOLE w{i % 7} w{i % 7} abc{i % 5}xyz einmal{i if i % 4 else 0} i̇ \u000b ok" if i % 11 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    for terms in (extract.word_ngrams(F.col("t")), F.filter(F.split("t", " "), lambda x: x != "")):
+        for min_df, most in ((1, 40), (2, 25), (2, 5000)):
+            v = extract.fit_tfidf(df, "id", terms, min_df, most)
+            want = extract._fit_tfidf_of_all(df, "id", terms, min_df, most)
+            shown = lambda x: sorted((r.term, r.term_id, round(r.idf, 9)) for r in x.collect())
+            assert shown(v) == shown(want)
+            got = {(r.id, c.term, c.term_id, round(c.weight, 9)) for r in extract.apply_tfidf(df, "id", terms, v, most).collect() for c in r.cells}
+            plain = {(r.id, c.term, c.term_id, round(c.weight, 9)) for r in extract.apply_tfidf(df, "id", terms, v, extract.BROADCAST_TERMS + 1).collect() for c in r.cells}
+            assert got == plain and got
+
+
+def test_tfidf_spreads_no_terms_of_rows(spark):
+    df = spark.createDataFrame([(1, "one two"), (2, "two three")], "id int, t string")
+    words = F.split("t", " ")
+    plan = extract.apply_tfidf(df, "id", words, extract.fit_tfidf(df, "id", words))._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
