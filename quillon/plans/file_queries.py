@@ -11,8 +11,16 @@ from quillon.plans.catalog import ORACLE, ORDERS, as_file, profiled, query, read
 from quillon.sources import files, splits
 from quillon.sources.shared import folder
 
-#: Bytes of a range in these queries, small so that files of the small tables have several.
+#: Bytes of a range in these queries where files are small, so that those of the small tables have several.
 SPLIT_BYTES = 64 << 10
+#: Ranges that the files of a query are cut into, about (besides one a file): each costs a task and a row on the driver.
+RANGES = 256
+
+
+def range_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a range of the files at path: as many as RANGES ranges of all bytes hold, within SPLIT_BYTES and the library's own size."""
+    total = sum(n for _, n in splits.listed(spark, path))
+    return min(max(SPLIT_BYTES, -(-total // RANGES)), splits.SPLIT_BYTES)
 
 
 def in_order(rows: DataFrame, key: str, line, name: str) -> str:
@@ -33,7 +41,7 @@ def place(numbered: DataFrame) -> DataFrame:
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as lines of text, each with its number as counted over the ranges of the files."""
     path = in_order(read(spark, sf_dir, "orders"), "o_orderkey", F.concat_ws(",", "o_orderkey", "o_orderpriority"), "order-lines")
-    lines = place(splits.numbered_lines(spark, path, SPLIT_BYTES))
+    lines = place(splits.numbered_lines(spark, path, range_bytes(spark, path)))
     part = F.split("value", ",")
     return lines.select(part[0].cast("long").alias("o_orderkey"), "line_number", F.length(part[1]).cast("long").alias("n_chars"))
 
@@ -63,7 +71,7 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, root = read(spark, sf_dir, "orders"), folder(spark, "log-lines")
     for i, city in enumerate(("beijing", "guangzhou", "nowhere")):
         orders.where(F.col("o_orderkey") % 3 == i).select(_log_line().alias("value")).write.text(f"{root}/{city}")
-    out = files.parse_log(splits.numbered_lines(spark, f"{root}/*", SPLIT_BYTES), b"a key of 16 bytes or more")
+    out = files.parse_log(splits.numbered_lines(spark, f"{root}/*", range_bytes(spark, f"{root}/*")), b"a key of 16 bytes or more")
     of = F.element_at(F.split("source_path", "/"), -2).alias("folder")
     return out.groupBy(of, "error").agg(F.count(F.lit(1)).alias("n"), F.sum("input_bits").alias("input_bits"), F.sum("output_bits").alias("output_bits"), F.count_distinct("device_id").alias("n_devices"), F.sum("duration_s").cast("long").alias("duration_s"))
 
@@ -78,7 +86,7 @@ def json_line_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id").cast("long")
     line = F.when(k % 31 == 0, "[1]").when(k % 29 == 0, "  ").when(k % 23 == 0, '{"doc_id": "one"}').otherwise(F.to_json(F.struct(k.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))))
     path = in_order(read(spark, sf_dir, "documents"), "doc_id", line, "json-lines")
-    rows = place(files.json_rows(spark, path, T.StructType().add("doc_id", "long").add("text", "string"), SPLIT_BYTES))
+    rows = place(files.json_rows(spark, path, T.StructType().add("doc_id", "long").add("text", "string"), range_bytes(spark, path)))
     return rows.select("line_number", "issue", "record.doc_id", F.sha2(F.col("record.text").cast("binary"), 256).alias("text_sha256"))
 
 
@@ -89,7 +97,7 @@ def file_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").withColumn("part", F.col("o_custkey").cast("long") % 64)
     rows.repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", F.concat_ws(",", "o_orderkey", "o_orderpriority").alias("value")).write.partitionBy("part").text(path)
     part = F.regexp_extract("source_path", "part=([0-9]+)", 1).cast("long")
-    return splits.checksums(spark, f"{path}/*/*.txt", SPLIT_BYTES).select(part.alias("part"), "length", "sha256")
+    return splits.checksums(spark, f"{path}/*/*.txt", range_bytes(spark, path)).select(part.alias("part"), "length", "sha256")
 
 
 #: What a document's record must be; the query breaks some by rule.

@@ -151,3 +151,14 @@ def test_sinks(spark, tmp_path):
     assert sinks.run_members(spark, str(tmp_path / "m"), ["a", "b", "c"], "1", make) == ["c"] and calls == ["a", "b", "c"]
     assert files.checksum_matches(spark, str(tmp_path / "l"), hashlib.sha256(b"x").hexdigest().upper())
     assert not files.checksum_matches(spark, str(tmp_path / "l"), hashlib.sha256(b"y").hexdigest())
+
+
+def test_ranges_of_the_file_queries_grow_with_the_files(spark, tmp_path, monkeypatch):
+    from quillon.plans import file_queries
+
+    (tmp_path / "a.txt").write_text("x" * 99 + "\n" + "y\n" * 100_000)
+    assert file_queries.range_bytes(spark, str(tmp_path)) == file_queries.SPLIT_BYTES
+    monkeypatch.setattr(file_queries, "RANGES", 2)
+    assert file_queries.range_bytes(spark, str(tmp_path)) == 100_050
+    monkeypatch.setattr("quillon.sources.splits.SPLIT_BYTES", 80_000)
+    assert file_queries.range_bytes(spark, str(tmp_path)) == 80_000
