@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -448,12 +449,21 @@ def phrase_spans(df: DataFrame, text_col: str, phrases: list[str], name: str = "
             found.add_word(p, (i, len(p)))
         if phrases:
             found.make_automaton()
-        kind = pa.list_(pa.struct([("phrase", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+        long, none = np.array([len(p) for p in phrases], np.int32), np.empty(0, np.int32)
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            spans = [[{"phrase": i, "start": at + 1 - n, "end": at + 1} for at, (i, n) in found.iter(t)] if t and phrases else [] for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], schema.names)
+            ends, ids, starts = [0], array("i"), array("i")
+            for t in b.column(b.schema.get_field_index(text_col)):
+                t = t.as_py()
+                for at, (i, n) in found.iter(t) if t and phrases else ():
+                    ids.append(i)
+                    starts.append(at + 1 - n)
+                ends.append(len(ids))
+            # flat numbers, not an object a span: a text may hold very many
+            phrase, start = np.frombuffer(ids, np.int32) if ids else none, np.frombuffer(starts, np.int32) if ids else none
+            spans = pa.StructArray.from_arrays([pa.array(phrase), pa.array(start), pa.array(start + long[phrase])], ["phrase", "start", "end"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)], schema.names)
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
