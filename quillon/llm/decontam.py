@@ -33,64 +33,67 @@ UNITS = "%|°c|°f|kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|yd|l|ml|s|ms|min|h|hr|h
 _MARK = "\x01"
 #: Scripts without spaces between words: each character is a token.
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
+#: The same; ASCII, which holds none of them, is told apart first.
+_UNSPACED_WIDE = rf"[^\x00-\x7F]&&[{_UNSPACED}]"
 
 
 def tokens(text: Column) -> Column:
-    """Tokens of a text; a placeholder token is the mark, its type (n, d or u) and the lower-cased value."""
+    """Tokens of a text; a placeholder token is the mark, its type (n, d or u) and the lower-cased value.
+
+    They are numbers, single characters of unspaced scripts and runs of letters, % and °; what is none of them becomes a space to split at.
+    """
     t = F.coalesce(text, F.lit(""))
-    t = F.translate(t, _MARK, " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", _MARK + "n$1")
-    t = F.regexp_replace(t, r"\p{Nd}+(?:[.,:/]\p{Nd}+)*", f" {_MARK}d$0 ")
-    t = F.regexp_replace(F.lower(t), rf"(?<=\p{{Nd}} ) ?({UNITS})(?![\p{{L}}\p{{Nd}}])", _MARK + "u$1")
-    return F.regexp_extract_all(t, F.lit(rf"{_MARK}d[\p{{Nd}}.,:/]+|[{_UNSPACED}]|{_MARK}?[\p{{L}}\p{{M}}%°&&[^{_UNSPACED}]]+"), F.lit(0))
+    t = F.replace(t, F.lit(_MARK), F.lit(" "))
+    t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", _MARK + "n$0")
+    t = F.lower(F.regexp_replace(t, r"\p{Nd}+(?:[.,:/]\p{Nd}+)*", f" {_MARK}d$0 "))
+    t = F.when(t.contains(_MARK + "d"), F.regexp_replace(t, rf"(?<=\p{{Nd}} ) ?({UNITS})(?![\p{{L}}\p{{Nd}}])", _MARK + "u$1")).otherwise(t)
+    t = F.regexp_replace(t, rf"[{_UNSPACED_WIDE}&&[^\p{{Nd}}]]", " $0 ")
+    # the mark stands before every number, so a point or the like before a digit is inside one
+    t = F.regexp_replace(t, rf"[^ a-z\p{{L}}\p{{M}}\p{{Nd}}%°{_MARK}.,:/[{_UNSPACED_WIDE}]]|[.,:/](?!\p{{Nd}})", " ")
+    return F.array_remove(F.split(t, " "), "")
 
 
 def _is_slot(token: Column) -> Column:
     return token.startswith(_MARK)
 
 
-def _hashes(tokens_col: Column) -> Column:
-    return F.transform(tokens_col, lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(t)))
-
-
-def _exact(tokens_col: Column) -> Column:
-    return F.transform(tokens_col, lambda t: F.xxhash64(t))
+def _codes(tokens_col: Column) -> Column:
+    """A long for each token: its hash, with 0 as the last two bits for a plain token, else the type of the slot."""
+    kind = lambda t: F.when(t.startswith(_MARK + "n"), 1).when(t.startswith(_MARK + "d"), 2).otherwise(3)
+    return F.transform(tokens_col, lambda t: F.when(~_is_slot(t), F.shiftleft(F.xxhash64(t), 2)).otherwise(F.shiftleft(F.xxhash64(t), 2).bitwiseOR(kind(t))))
 
 
-def _slots(tokens_col: Column) -> Column:
-    return F.transform(tokens_col, lambda t: _is_slot(t).cast("int"))
+def _kind(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(3))
 
 
-def _windows(h: Column, e: Column, s: Column) -> Column:
-    """Keys of all windows: of the types (h), or of the values (e) where fewer than PLAIN tokens are no slots (s)."""
-    n = F.size(h) - WINDOW
+def _places(n: Column) -> Column:
+    """0 to n - 1, to be exploded: keys are made of rows, as Spark compiles these and not the lambdas of arrays."""
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1))
 
-    def key(i: Column) -> Column:
-        slots = F.get(s, i)
-        for j in range(1, WINDOW):
-            slots = slots + F.get(s, i + j)
-        typed, valued = (F.xxhash64(*[F.get(x, i + j) for j in range(WINDOW)], *more) for x, more in ((h, []), (e, [F.lit(WINDOW)])))
-        return F.when(slots <= WINDOW - PLAIN, typed).otherwise(valued)
 
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), key))
+def _once(rows: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+    """rows[keep] with a computed array that later expressions read but never compute again (a generator isn't inlined)."""
+    return rows.select(*keep, F.explode(F.array(value)).alias(name))
 
 
-def _whole(e: Column, length: int) -> Column:
-    """Keys of all stretches of length tokens with their values."""
-    n = F.size(e) - length
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(F.lit(length), *[F.get(e, i + j) for j in range(length)]))).otherwise(F.array().cast("array<bigint>"))
+def _coded(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows (t: tokens) with c, their codes."""
+    return _once(rows, "c", _codes(F.col("t")), *keep)
 
 
-def _once(rows: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
-    """rows[keep] with a computed array that later expressions read but never compute again (a generator isn't inlined)."""
-    return rows.select(*keep, F.explode(F.array(value)).alias(name))
+def _windows(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows (c: codes) as keep, pos, window: keys of all windows, of the types or, where fewer than PLAIN tokens are no slots, of the values."""
+    at = rows.select(*keep, "c", F.explode(_places(F.size("c") - (WINDOW - 1))).alias("pos"))
+    values = [F.get("c", F.col("pos") + j) for j in range(WINDOW)]
+    slots = sum((F.when(_kind(x) != 0, 1).otherwise(0) for x in values[1:]), F.when(_kind(values[0]) != 0, 1).otherwise(0))
+    typed = F.xxhash64(*[F.when(_kind(x) == 0, x).otherwise(_kind(x)) for x in values])
+    return at.select(*keep, "pos", F.when(slots <= WINDOW - PLAIN, typed).otherwise(F.xxhash64(*values, F.lit(WINDOW))).alias("window"))
 
 
-def _arrays(rows: DataFrame, *keep: str) -> DataFrame:
-    """rows (t: tokens) with h, e and s, what the keys of windows are made of."""
-    rows = _once(rows, "h", _hashes(F.col("t")), *keep, "t")
-    rows = _once(rows, "e", _exact(F.col("t")), *keep, "t", "h")
-    return _once(rows, "s", _slots(F.col("t")), *keep, "t", "h", "e")
+def _whole(c: Column, pos: Column, length: int) -> Column:
+    """Key of the stretch of length tokens from pos on, with their values; null if it ends outside."""
+    return F.when(pos + length <= F.size(c), F.xxhash64(F.lit(length), *[F.get(c, pos + j) for j in range(length)]))
 
 
 def _item_tokens(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -100,15 +103,14 @@ def _item_tokens(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, length (tokens), ipos, window, values (the WINDOW tokens). Items of fewer tokens than a window have none, see short_items."""
-    rows = _arrays(_item_tokens(benchmark, id_col, text_col), "item_id")
-    rows = rows.select("item_id", F.size("t").alias("length"), "t", F.posexplode(_windows(F.col("h"), F.col("e"), F.col("s"))).alias("ipos", "window"))
-    return rows.withColumn("values", F.slice("t", F.col("ipos") + 1, WINDOW)).drop("t")
+    rows = _windows(_coded(_item_tokens(benchmark, id_col, text_col), "item_id", "t"), "item_id", "t")
+    return rows.select("item_id", F.size("t").alias("length"), F.col("pos").alias("ipos"), "window", F.slice("t", F.col("pos") + 1, WINDOW).alias("values"))
 
 
 def short_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, length, slots (distinct ones), window (key of the whole item) of the items of 1 to WINDOW - 1 tokens."""
-    rows = _once(_item_tokens(benchmark, id_col, text_col).where(F.size("t").between(1, WINDOW - 1)), "e", _exact(F.col("t")), "item_id", "t")
-    key = F.coalesce(*[F.when(F.size("t") == n, F.get(_whole(F.col("e"), n), F.lit(0))) for n in range(1, WINDOW)])
+    rows = _coded(_item_tokens(benchmark, id_col, text_col).where(F.size("t").between(1, WINDOW - 1)), "item_id", "t")
+    key = F.coalesce(*[F.when(F.size("t") == n, _whole(F.col("c"), F.lit(0), n)) for n in range(1, WINDOW)])
     return rows.select("item_id", F.size("t").alias("length"), F.size(F.array_distinct(F.filter("t", _is_slot))).alias("slots"), key.alias("window"))
 
 
@@ -116,9 +118,10 @@ def _short_leaks(rows: DataFrame, short: DataFrame) -> DataFrame:
     """leaks of the short items: verbatim, as a whole."""
     lengths = sorted(r["length"] for r in short.select("length").distinct().collect())  # at most WINDOW - 1
     few = short.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    e = _once(_once(rows, "t", tokens(F.col("text")), "k1", "k2", "doc_id"), "e", _exact(F.col("t")), "k1", "k2", "doc_id")
-    keys = F.concat(*[_whole(F.col("e"), n) for n in lengths]) if lengths else F.array().cast("array<bigint>")
-    found = e.select("k1", "k2", "doc_id", F.explode(F.array_distinct(keys)).alias("window")).join(F.broadcast(short) if few else short, "window")
+    c = _coded(_once(rows, "t", tokens(F.col("text")), "k1", "k2", "doc_id"), "k1", "k2", "doc_id")
+    at = c.select("k1", "k2", "doc_id", "c", F.explode(_places(F.size("c"))).alias("pos"))
+    keys = at.select("k1", "k2", "doc_id", F.explode(F.array(*[_whole(F.col("c"), F.col("pos"), n) for n in lengths])).alias("window"))
+    found = (keys if few else keys.distinct()).join(F.broadcast(short) if few else short, "window")
     return found.select("k1", "k2", "doc_id", "item_id", F.col("length").cast("long").alias("covered"), F.lit(1.0).alias("share"), F.col("slots").cast("long").alias("slots")).distinct()
 
 
@@ -126,37 +129,38 @@ def _typed(token: Column) -> Column:
     return F.when(_is_slot(token), F.substring(token, 1, 2)).otherwise(token)
 
 
-def _plain_places(t: Column) -> Column:
-    """Where the tokens are that aren't placeholders."""
-    every = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda i: ~_is_slot(F.get(t, i)))
+def _plain_places(c: Column) -> Column:
+    """Where the tokens are that aren't placeholders (c: codes)."""
+    every = F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda i: _kind(F.get(c, i)) == 0)
 
 
-def _anchors(t: Column, p: Column, m: int) -> Column:
-    """array<struct<key, pos>> of the anchors of m plain tokens in t (p: their places); pos is the place of the first."""
-    last = F.size(p) - m
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    spanning = F.filter(starts, lambda k: F.get(p, k + m - 1) - F.get(p, k) >= m)
+def _with_places(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows (t: tokens) with c, their codes, and p, the places of the plain ones."""
+    return _once(_coded(rows, *keep), "p", _plain_places(F.col("c")), *keep, "c")
 
-    def key(k: Column) -> Column:
-        told = [F.get(t, F.get(p, k))]
-        for j in range(1, m):
-            told += [F.get(p, k + j) - F.get(p, k + j - 1), F.get(t, F.get(p, k + j))]
-        return F.struct(F.xxhash64(F.lit(m), *told).alias("key"), F.get(p, k).alias("pos"))
 
-    return F.transform(spanning, key)
+def _anchors(rows: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """rows (c: codes, p: places of the plain tokens) as keep, m, key, pos: the anchors of m plain tokens, for each m of sizes; pos is the place of the first."""
+    at = rows.select(*keep, "c", "p", F.explode(_places(F.size("p"))).alias("k"))
+    place = [F.get("p", F.col("k") + j) for j in range(max(sizes))]
 
+    def anchor(m: int) -> Column:
+        told = [F.get("c", place[0])]
+        for j in range(1, m):
+            told += [place[j] - place[j - 1], F.get("c", place[j])]
+        return F.struct(F.lit(m).alias("m"), F.when(place[m - 1] - place[0] >= m, F.xxhash64(F.lit(m), *told)).alias("key"))
 
-def _with_places(rows: DataFrame, *keep: str) -> DataFrame:
-    return _once(rows, "p", _plain_places(F.col("t")), *keep, "t")
+    found = at.select(*keep, place[0].alias("pos"), F.explode(F.array(*[anchor(m) for m in sizes])).alias("a"))
+    return found.select(*keep, "a.m", "a.key", "pos").where(F.col("key").isNotNull())
 
 
 def item_anchors(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, t, m, key, pos: anchors of the items with placeholders and three plain tokens or more; of an item with three plain tokens only those of three."""
-    rows = _with_places(_item_tokens(benchmark, id_col, text_col), "item_id").where(F.size("p").between(min(ANCHORS), F.size("t") - 1))
+    rows = _with_places(_item_tokens(benchmark, id_col, text_col), "item_id", "t").where(F.size("p").between(min(ANCHORS), F.size("t") - 1))
     m = F.when(F.size("p") >= ANCHORS[0], ANCHORS[0]).otherwise(ANCHORS[1])
-    found = F.when(m == ANCHORS[0], _anchors(F.col("t"), F.col("p"), ANCHORS[0])).otherwise(_anchors(F.col("t"), F.col("p"), ANCHORS[1]))
-    return rows.select("item_id", "t", m.alias("m"), F.explode(found).alias("a")).select("item_id", "t", "m", "a.key", "a.pos")
+    found = _anchors(rows.withColumn("own", m), sorted(ANCHORS), "item_id", "t", "own")
+    return found.where(F.col("m") == F.col("own")).select("item_id", "t", "m", "key", "pos")
 
 
 def _laid(item: Column, doc: Column, diagonal: Column) -> Column:
@@ -170,9 +174,8 @@ def _anchored_leaks(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     few = anchors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sizes = [r["m"] for r in anchors.select("m").distinct().collect()]  # at most two
     d = _with_places(_once(rows, "t", tokens(F.col("text")), "k1", "k2"), "k1", "k2")
-    keys = F.concat(*[_anchors(F.col("t"), F.col("p"), m) for m in sorted(sizes)])
     hit = anchors.select("item_id", "key", F.col("pos").alias("ipos"))
-    found = d.select("k1", "k2", F.explode(keys).alias("a")).select("k1", "k2", "a.key", "a.pos").join(F.broadcast(hit) if few else hit, "key")
+    found = _anchors(d, sorted(sizes), "k1", "k2").join(F.broadcast(hit) if few else hit, "key")
     found = written(found.select("k1", "k2", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).distinct(), "decontam-anchored")
     keys = written(found.select("k1", "k2").distinct(), "decontam-anchored-keys")
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -205,7 +208,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     few = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hit = items.select("item_id", "ipos", "window")
     rows = _keyed(docs, id_col, text_col)
-    found = _arrays(_once(rows, "t", tokens(F.col("text")), "k1", "k2"), "k1", "k2").select("k1", "k2", F.posexplode(_windows(F.col("h"), F.col("e"), F.col("s"))).alias("pos", "window"))
+    found = _windows(_coded(_once(rows, "t", tokens(F.col("text")), "k1", "k2"), "k1", "k2"), "k1", "k2")
     found = written(found.join(F.broadcast(hit) if few else hit, "window").select("k1", "k2", "item_id", "pos", "ipos").distinct(), "decontam-hits")
     # a short stretch can't be enough: these go no further
     enough = found.groupBy("k1", "k2", "item_id").agg(F.count_distinct("ipos").alias("n"))

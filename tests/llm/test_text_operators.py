@@ -210,6 +210,36 @@ def test_anchors_against_brute_force(spark):
     assert got == want and len(want) > 10
 
 
+def test_decontamination_makes_keys_of_documents_in_compiled_rows(spark, monkeypatch):
+    """Lambdas of arrays are interpreted: they code the tokens and tell the plain ones, and no key of a place is made in them."""
+    plans = {}
+    written = decontam.written
+    monkeypatch.setattr(decontam, "written", lambda df, name, *more: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or written(df, name, *more))
+    bench = spark.createDataFrame([(1, "Plain words only make up this item which is long enough to be found"), (2, "What is 12 plus 31 times 4?")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Plain words only make up this item which is long enough to be found"), (2, "so what is 5 plus 6 times 7?")], "doc_id long, text string")
+    found = decontam.leaks(docs, bench)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2)}
+    assert plans["decontam-hits"].count("lambdafunction(") == 1
+    assert plans["decontam-anchored"].count("lambdafunction(") == 2
+
+
+def test_tokens_against_their_definition(spark):
+    """Numbers, single characters of unspaced scripts and runs of letters, by one pattern, over random texts of odd characters."""
+    import random
+
+    r = random.Random(5)
+    some = ["a", "B", "É", "ß", "İ", "Σ", " ", " ", " ", "  ", "\n", ".", ",", ":", "/", "-", "%", "°", "\x01", "\x01d", "\x01n", "\x01u", "5", "12", "3.5", "1,000", "๕", "๑.๒", "ก", "ั", "漢", "々", "〇", "カ", "ー", "kg", "Km", "percent", "Anna", "Bob", "\u0301", "\U0001d7d8", "\U0001d400", "\U00020000", "ǅ", "$1", "\\", "\x00", "\u00a0", "_", "½", "Ⅷ"]
+    texts = ["".join(r.choice(some) for _ in range(r.randrange(25))) for _ in range(5000)] + ["", None]
+    mark, wide = "\x01", r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
+    t = F.translate(F.coalesce("text", F.lit("")), mark, " ")
+    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", mark + "n$1")
+    t = F.regexp_replace(t, r"\p{Nd}+(?:[.,:/]\p{Nd}+)*", f" {mark}d$0 ")
+    t = F.regexp_replace(F.lower(t), rf"(?<=\p{{Nd}} ) ?({decontam.UNITS})(?![\p{{L}}\p{{Nd}}])", mark + "u$1")
+    told = F.regexp_extract_all(t, F.lit(rf"{mark}d[\p{{Nd}}.,:/]+|[{wide}]|{mark}?[\p{{L}}\p{{M}}%°&&[^{wide}]]+"), F.lit(0))
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", told.alias("told"), decontam.tokens(F.col("text")).alias("got"))
+    assert [(x.text, x.got) for x in rows.where("told != got or got is null").collect()] == []
+
+
 def test_decontamination_against_brute_force(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
