@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -53,14 +53,17 @@ def sensitive_flags(c: Column) -> list[Column]:
     return [F.coalesce(c.rlike(p), F.lit(False)).alias(f"has_{name}") for name, p in text.SENSITIVE.items()]
 
 
-def audit_corpus(tasks: DataFrame, expected: int | None = None, schema: dict | None = None, record: str = "record") -> DataFrame:
-    """tasks: task_id, task_text, user_policy_text, scenario_domain, semantic_phenomena (array); with a JSON Schema also record, the JSON text of the task."""
+def audit_corpus(tasks: DataFrame, expected: int | None = None, schema: dict | None = None, record: str = "record", key: Callable[[Column], Column] = text.text_key, sensitive: Mapping[str, str] = text.SENSITIVE) -> DataFrame:
+    """tasks: task_id, task_text, user_policy_text, scenario_domain, semantic_phenomena (array); with a JSON Schema also record, the JSON text of the task.
+
+    Texts of one key count as equal; sensitive are the forbidden patterns by name.
+    """
     both = F.concat("task_text", F.lit("\n"), F.coalesce("user_policy_text", F.lit("")))
     t = tasks.withColumn("_both", both)
     parts = [
-        row_issues(t, "task_id", [(f"forbidden_{name}", F.col("_both").rlike(p)) for name, p in text.SENSITIVE.items()] + [("missing_text", F.coalesce(F.trim("task_text") == "", F.lit(True)))]),
+        row_issues(t, "task_id", [(f"forbidden_{name}", F.col("_both").rlike(p)) for name, p in sensitive.items()] + [("missing_text", F.coalesce(F.trim("task_text") == "", F.lit(True)))]),
         repeated(t, "task_id_not_unique", F.col("task_id")),
-        repeated(t, "text_not_unique", text.text_key(F.col("_both"))),
+        repeated(t, "text_not_unique", key(F.col("_both"))),
     ]
     if expected is not None:
         n = t.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != expected)
